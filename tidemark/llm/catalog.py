@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality, topk, urlrules
+from tidemark.llm import packing, quality, topk, urlrules
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op6_quality": quality.op6_quality,
     "op7_topk": topk.op7_topk,
     "op10_urls": urlrules.op10_urls,

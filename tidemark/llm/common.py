@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def slices(keys: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, list[str]]]:
+    """Runs of rows with at most ``most`` characters of text, or a single longer row."""
+    named, whole = keys.to_pylist(), texts.to_numpy(zero_copy_only=False).tolist()
+    at = held = 0
+    for i, t in enumerate(whole):
+        if held and held + len(t) > most:
+            yield named[at:i], whole[at:i]
+            at, held = i, 0
+        held += len(t)
+    if at < len(whole):
+        yield named[at:], whole[at:]

@@ -23,7 +23,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bangs")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_bangs", "n_stutters")
 LEDGER = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
 
 
@@ -44,9 +44,10 @@ RULES = tuple(
             ("symbols", "10 * n_symbols > n_words"),
             ("short_words", "word_chars < 2 * n_words"),
             ("long_words", "word_chars > 14 * n_words"),
-            ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+            ("repeated_lines", "2 * n_dup_lines > n_lines"),
             ("shouting", "n_upper > n_lower"),
             ("bangs", "5 * n_bangs > n_words"),
+            ("stutter", "2 * n_stutters > n_words"),
         )
     )
 )
@@ -55,7 +56,7 @@ BASE = ("few_words", "repeated_windows")
 # Versioned policies: the rules that reject a document.
 POLICIES = {
     "base": BASE,
-    "v1": (*BASE, "symbols", "short_words", "long_words", "repeated_lines", "shouting", "bangs"),
+    "v1": (*BASE, "symbols", "short_words", "long_words", "repeated_lines", "shouting", "bangs", "stutter"),
 }
 CURRENT = "v1"
 
@@ -109,7 +110,7 @@ def measure(text: str) -> tuple[int, ...]:
     lower = sum(map(str.islower, text)) if not text.isascii() else len(text) - len(text.translate(_LOWER))
     return (
         len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), lines, dup, repeat_words(words),
-        upper, lower, text.count("!"),
+        upper, lower, text.count("!"), sum(map(bytes.__eq__, words, words[1:])),
     )
 
 
@@ -166,7 +167,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failures").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"), "kept",
-        "n_lines", "n_upper", "n_lower", "n_bangs", "failures",
+        "n_lines", "n_upper", "n_lower", "n_bangs", "n_stutters", "failures",
     )
 
 
@@ -189,9 +190,10 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[ \t\
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
              coalesce(n_lines, 0) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper,
              length(text) - length(regexp_replace(text, '\p{{Ll}}', '', 'g')) AS n_lower,
-             length(text) - length(replace(text, '!', '')) AS n_bangs
+             length(text) - length(replace(text, '!', '')) AS n_bangs,
+             len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutters
       FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
 f AS (SELECT *, CAST({fails} AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {mask(BASE)}) <> 0 AS base_failed,
-       (failures & {mask(CURRENT)}) = 0 AS kept, n_lines, n_upper, n_lower, n_bangs, failures
+       (failures & {mask(CURRENT)}) = 0 AS kept, n_lines, n_upper, n_lower, n_bangs, n_stutters, failures
 FROM f"""
