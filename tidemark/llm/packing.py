@@ -245,8 +245,8 @@ def _packed(spec, tiers: tuple[int, ...], with_ids: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for names, texts in slices(batch.column(0), batch.column(1), ENCODE_CHARS):
-                for doc, x in zip(names, encode(texts), strict=True):
+            for keys, texts in slices(batch.column(0), batch.column(1), ENCODE_CHARS):
+                for doc, x in zip(keys, encode(texts), strict=True):
                     docs.append(doc)
                     ids.append(np.append(x, x.dtype.type(END_ID)))  # a copy, so that the batch's ids can go
                     held += len(x) + 1
