@@ -65,7 +65,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def slices(keys: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, list[str]]]:
     """Runs of rows with at most ``most`` characters of text, or a single longer row."""
-    named, whole = keys.to_pylist(), texts.to_numpy(zero_copy_only=False).tolist()
+    whole = texts.to_numpy(zero_copy_only=False).tolist()
+    named = whole if keys is texts else keys.to_pylist()
     at = held = 0
     for i, t in enumerate(whole):
         if held and held + len(t) > most:
