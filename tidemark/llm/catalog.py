@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, quality, topk, toxicity, urlrules
+from tidemark.llm import packing, pii, quality, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op6_quality": quality.op6_quality,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_pii": pii.op9_pii,
     "op10_urls": urlrules.op10_urls,
 }
 ORACLES = {
