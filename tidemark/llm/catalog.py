@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pii, quality, topk, toxicity, urlrules
+from tidemark.llm import packing, pieces, pii, quality, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op5_pieces": pieces.op5_pieces,
     "op6_quality": quality.op6_quality,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
