@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pieces, pii, quality, topk, toxicity, urlrules
+from tidemark.llm import fixity, packing, pieces, pii, quality, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_fixity": fixity.op2_fixity,
     "op5_pieces": pieces.op5_pieces,
     "op6_quality": quality.op6_quality,
     "op7_topk": topk.op7_topk,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_urls": urlrules.op10_urls,
 }
 ORACLES = {
+    "op2_fixity": fixity.oracle(),
     "op6_quality": quality.oracle(),
     "op7_topk": topk.oracle(),
     "op10_urls": urlrules.oracle(),
