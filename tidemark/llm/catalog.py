@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fixity, packing, pieces, pii, quality, simhash, topk, toxicity, urlrules
+from tidemark.llm import fixity, packing, pieces, pii, quality, repeats, simhash, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_fixity": fixity.op2_fixity,
+    "op3_repeats": repeats.op3_repeats,
     "op4_simhash": simhash.op4_simhash,
     "op5_pieces": pieces.op5_pieces,
     "op6_quality": quality.op6_quality,

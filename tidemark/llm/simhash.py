@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, documents, ship, shuffle_partitions, table
 from tidemark.llm.components import stars
@@ -59,16 +60,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed number."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs with ``fp``: the fingerprint's 64 bits as a signed number."""
     ship(docs.sparkSession)
+    names, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_numpy(zero_copy_only=False).tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint(t or "", shingle) for t in batch.column(text_at).to_numpy(zero_copy_only=False).tolist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*names, "fp"])
 
-    return documents(docs).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -213,17 +215,35 @@ def near_stars(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars_of(distance), "a bigint, b bigint")
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    own = cut(fingerprints(docs, shingle))
+def groups(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, group) of the distinct fingerprints of (doc_id, fp): the smallest doc_id reachable, or a number from _NAMELESS on."""
     nameless = F.lit(_NAMELESS) + F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1))
     codes = own.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("rep"))
     roots = stars(near_stars(codes, distance))
-    known = codes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("id"))
-    named = known.select("fp", F.when(F.col("id") < _NAMELESS, F.col("id")).alias("component_id"))
+    return codes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("group"))
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    own = cut(with_fingerprints(documents(docs), shingle).select("doc_id", "fp"))
+    named = groups(own, distance).select("fp", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"))
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs without those of documents that are linked, over any path, to one of a smaller id.
+
+    Rows of one doc_id are one document. Of rows without a doc_id, one stays in each group that has no other.
+    """
+    own = cut(with_fingerprints(documents(docs), shingle).select("doc_id", "fp"))
+    found = cut(groups(own, distance))
+    linked = own.join(found, "fp")
+    losers = linked.where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(losers, "doc_id", "left_anti").select(docs.columns)
+    nameless = with_fingerprints(docs.where(F.col("doc_id").isNull()), shingle).join(found.where(F.col("group") >= _NAMELESS), "fp")
+    return named.unionByName(nameless.dropDuplicates(["group"]).select(docs.columns))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
