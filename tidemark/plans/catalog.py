@@ -1,2 +1,8 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the library, and their SQL."""
+
+from __future__ import annotations
+
+from tidemark.plans import queries
+from tidemark.plans.oracle import ORACLES as ORACLES
+
+QUERIES = {name: f for name, f in vars(queries).items() if name.startswith("kv_") and callable(f) and f.__module__ == queries.__name__}
