@@ -59,7 +59,7 @@ class Manifest:
     next_id: int = 1
     last_seq: int = 0
     flushed_seq: int = 0
-    gc_seq: int = 0  # compaction may have dropped deletions up to here, so nothing as old may come in any more
+    gc_seq: int = -1  # compaction may have dropped deletions up to here, so nothing as old may come in any more
     segments: tuple[Segment, ...] = ()
     parts: tuple[LogPart, ...] = ()
     version: int = field(default=VERSION)
