@@ -45,11 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under the operator's own names and types; other columns can't clash."""
-    return df.select(*[F.col(f"`{theirs}`").cast(kind).alias(ours) for ours, (theirs, kind) in columns.items()])
-
-
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id bigint, text string): a null text counts as an empty one."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -75,3 +70,19 @@ def slices(keys: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, l
         held += len(t)
     if at < len(whole):
         yield named[at:], whole[at:]
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names in any case: a result takes the place of an input column of its name."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import fresh, table, without
 
 ROUNDS = 10
 KEY = "tidemark pseudonyms, example key"
@@ -180,24 +180,22 @@ def _pseudonym(key: str, back: bool) -> str:
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text", reveal: bool = False) -> DataFrame:
     """The rows of docs with personal values in ``column`` replaced, and ``pii``: how many of each kind were.
 
-    ``reveal`` undoes the replacement under the same key.
+    A column named pii is replaced. ``reveal`` undoes the replacement under the same key.
     """
-    held = f"__{column}"
-    text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
-    found = docs.withColumn(held, text)
+    docs = without(docs, "pii")
+    held, finds, marked, written = fresh(docs, "_text", "_finds", "_marked", "_written")
+    found = docs.withColumn(held, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
     # Texts without a digit or an at sign, most of them, are passed over by one cheap test.
     some = F.col(held).rlike("[0-9@]")
-    finds = F.when(some, F.regexp_extract_all(held, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = F.expr(f"transform(__finds, m -> named_struct('m', m, 'kind', {_kind()}))")
-    written = F.expr(f"transform(__marked, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key, reveal)))})")
+    matches = F.when(some, F.regexp_extract_all(held, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    kinds = F.expr(f"transform({finds}, m -> named_struct('m', m, 'kind', {_kind()}))")
+    values = F.expr(f"transform({marked}, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key, reveal)))})")
     gaps = F.split(F.col(held), PATTERN, -1)
-    rewritten = F.when(F.size("__finds") == 0, F.col(held)).otherwise(
-        F.concat_ws("", F.flatten(F.zip_with(gaps, F.col("__written"), lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))))
-    )
-    kinds = F.expr("struct(" + ", ".join(f"CAST(size(filter(__marked, f -> f.kind = '{k}')) AS BIGINT) AS {k}" for k in KINDS) + ")")
+    joined = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col(written), lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))))
+    counts = F.expr("struct(" + ", ".join(f"CAST(size(filter({marked}, f -> f.kind = '{k}')) AS BIGINT) AS {k}" for k in KINDS) + ")")
     return (
-        found.withColumn("__finds", finds).withColumn("__marked", marked).withColumn("__written", written)
-        .withColumn(column, rewritten).withColumn("pii", kinds).drop(held, "__finds", "__marked", "__written")
+        found.withColumn(finds, matches).withColumn(marked, kinds).withColumn(written, values)
+        .withColumn(column, F.when(F.size(finds) == 0, F.col(held)).otherwise(joined)).withColumn("pii", counts).drop(held, finds, marked, written)
     )
 
 

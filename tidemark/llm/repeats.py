@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ship, table
+from tidemark.llm.common import cut, ship, table, without
 
 LENGTH = 50
 GRAM = 24
@@ -450,10 +450,12 @@ def _mark(id_name: str, text_name: str, n: int, with_kept: bool):
 
 
 def mark_repeats(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", with_kept: bool = False, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
-    """The rows of docs with n_bytes, n_removed, n_spans and kept_sha256, and if asked for ``kept_text``.
+    """The rows of docs with n_bytes, n_removed, n_spans and kept_sha256, and if asked for ``kept_text``;
+    columns of these names are replaced.
 
-    That is the bytes that stay, as text; characters of which a removal left only a part are left out.
+    kept_text is the bytes that stay, as text; characters of which a removal left only a part are left out.
     """
+    docs = without(docs, *[name for name, _ in RESULT])
     own = cut(blocks(docs, id_name, text_name, block_bytes))
     n = buckets or bucket_count(own.agg(F.sum("bytes")).first()[0] or 0)
     rows = own.select("block", "rows")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, documents, ship, shuffle_partitions, table
+from tidemark.llm.common import cut, documents, fresh, ship, shuffle_partitions, table
 from tidemark.llm.components import stars
 
 BITS = 64
@@ -60,17 +60,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs with ``fp``: the fingerprint's 64 bits as a signed number."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """The rows of docs with the fingerprint's 64 bits as a signed number, in a column of a new name."""
     ship(docs.sparkSession)
     names, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t or "", shingle) for t in batch.column(text_at).to_numpy(zero_copy_only=False).tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -240,8 +240,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     linked = own.join(found, "fp")
     losers = linked.where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(losers, "doc_id", "left_anti").select(docs.columns)
-    nameless = with_fingerprints(docs.where(F.col("doc_id").isNull()), shingle).join(found.where(F.col("group") >= _NAMELESS), "fp")
-    return named.unionByName(nameless.dropDuplicates(["group"]).select(docs.columns))
+    fp, group = fresh(docs, "fp", "group")
+    left = found.where(F.col("group") >= _NAMELESS).select(F.col("fp").alias(fp), F.col("group").alias(group))
+    nameless = with_fingerprints(docs.where(F.col("doc_id").isNull()), shingle, fp).join(left, fp)
+    return named.unionByName(nameless.dropDuplicates([group]).select(docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, ship, slices, table
+from tidemark.llm.common import documents, ship, slices, table, without
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 16_000_000
@@ -328,12 +329,11 @@ class _Kept:
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs with ``score``; its own columns keep their values."""
+    """The rows of docs with ``score``, which replaces a column of that name; the others keep their values."""
+    docs = without(docs, "score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     spark = ship(docs.sparkSession)
-    from pyspark.sql import types as T
-
     sent = _Kept(spark.sparkContext.broadcast(model))
     plain = docs.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
