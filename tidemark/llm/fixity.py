@@ -76,7 +76,8 @@ def _above(leaf_level: DataFrame, height: int) -> Tree:
         kids = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
         line = F.transform(kids, lambda k: F.concat_ws(":", k["node"].cast("string"), k["length"].cast("string"), k["hash"]))
         whole = levels[-1].groupBy(up.alias("up")).agg(F.sum("length").alias("length"), F.sum("n").alias("n"), F.sha2(F.concat_ws("|", line), 256).alias("hash"))
-        levels.append(whole.withColumnRenamed("up", "node"))
+        # Each level is read by the next and by the audit; cut, it isn't aggregated again from the leaves.
+        levels.append(cut(whole.withColumnRenamed("up", "node")))
     return Tree(levels)
 
 
@@ -100,7 +101,7 @@ def audit(primary: Tree, replica: Tree) -> DataFrame:
             below = F.lit(0).cast("bigint") if h == len(primary.levels) - 2 else F.shiftright("node", FAN_BITS)
             ours, theirs = (x.withColumn("up", below).join(suspects, "up", "left_semi").drop("up") for x in (ours, theirs))
         both = ours.withColumnRenamed("hash", "a").join(theirs.withColumnRenamed("hash", "b"), "node", "full_outer")
-        differ = both.where(~F.col("a").eqNullSafe(F.col("b")))
+        differ = cut(both.where(~F.col("a").eqNullSafe(F.col("b"))))
         suspects = differ.select(F.col("node").alias("up"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("damaged")
     return differ.select(F.col("node").alias("record_key"), status.alias("status"))
@@ -118,7 +119,7 @@ def fixity(pages: DataFrame, copy: DataFrame) -> DataFrame:
     first, second = cut(leaves(records(pages))), cut(leaves(records(copy)))
     height = height_of(first, second)
     ours, theirs = _above(first, height), _above(second, height)
-    found = cut(audit(ours, theirs))
+    found = audit(ours, theirs)
     intact = placed(first).join(found.where("status != 'extra'"), F.col("node") == F.col("record_key"), "left")
     known = intact.select(F.col("node").alias("record_key"), "volume", "start", "length", "n", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
     extra = found.where("status = 'extra'").select(
