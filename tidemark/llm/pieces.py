@@ -31,15 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, ship, slices, table
+from tidemark.llm.common import claim, documents, ship, slices, table
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 CACHE_PAIRS = 1_000_000
 BATCH_CHARS = 4_000_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_FILTER_SHIFT = np.uint64(42)
+_NEAR_SHIFT = np.uint64(44)
 
 
 class Pieces:
@@ -84,12 +86,19 @@ class Pieces:
         self.hashes, self.ids, self.scores = hashes[order], np.array(normal, np.int64)[order], scores[order]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces share a hash")
+        self.sizes = np.array(list(map(len, points)), np.int64)[order]
+        self.filter = np.zeros(1 << (64 - int(_FILTER_SHIFT)), bool)
+        self.filter[self.hashes >> _FILTER_SHIFT] = True
         self.points = np.zeros((len(normal), self.longest), np.uint32)
         for row, i in enumerate(order):
             self.points[row, : len(points[i])] = points[i]
         self.cut_lines = not any("\n" in self.text[i] for i in normal)
         self.known: dict[str, bytes] = {}
         self.pairs, self.together = np.zeros(0, np.int64), np.zeros(0, bool)
+        near = 1 << (64 - int(_NEAR_SHIFT))
+        self.near_key, self.near = np.full(near, -1), np.zeros(near, bool)
+        sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.raw, self.raw_size, self.raw_at = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
 
     def _steps(self, t: str) -> list[tuple[float, str, str]]:
         """Merging t, best score first and leftmost of equals: (score, first part, last part) after each step."""
@@ -125,6 +134,11 @@ class Pieces:
         out = (left < 0) | (right < 0)
         todo = np.flatnonzero(~out)
         keys = (left * len(self.text) + right)[todo]
+        # A direct-mapped table answers what was asked before; the sorted one has all that was ever worked out.
+        spot = (keys.view(np.uint64) * _BASE >> _NEAR_SHIFT).view(np.int64)
+        near = self.near_key[spot] == keys
+        out[todo[near]] = self.near[spot[near]]
+        todo, keys, spot = todo[~near], keys[~near], spot[~near]
         slot, told = self._told(keys)
         if not told.all():
             if len(self.pairs) > CACHE_PAIRS:
@@ -135,7 +149,11 @@ class Pieces:
             order = np.argsort(pairs)
             self.pairs, self.together = pairs[order], np.concatenate([self.together, found])[order].astype(bool)
             slot, told = self._told(keys)
-        out[todo] = self.together[slot]
+        if len(keys):
+            out[todo] = self.together[slot]
+            self.near_key[spot] = keys
+            won = self.near_key[spot] == keys  # of the keys with one spot, one stays
+            self.near[spot[won]] = self.together[slot[won]]
         return out
 
     def _told(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,29 +188,34 @@ class Pieces:
         for e in range(1, length + 1):
             low = max(0, e - self.longest)
             rolled[:, low:e] = (rolled[:, low:e] + text[:, e - 1 : e] + np.uint64(1)) * _BASE
-            slot = np.minimum(np.searchsorted(self.hashes, rolled[:, low:e]), len(self.hashes) - 1)
-            hit = self.hashes[slot] == rolled[:, low:e]
-            w, at = np.nonzero(hit)  # a hash hit counts only if the characters agree
-            reach = np.arange(min(self.longest, e - low))
-            spots = low + at[:, None] + reach
-            agree = (self.points[slot[w, at], : len(reach)] == np.where(spots < e, text[w[:, None], np.minimum(spots, e - 1)], 0)).all(axis=1)
-            if len(reach) < self.longest:
-                agree &= self.points[slot[w, at], len(reach)] == 0
-            hit[w[~agree], at[~agree]] = False
-            w, at = w[agree], at[agree]
-            lone = ~hit[:, -1]
+            # Most substrings are no piece: a table of hash bits tells before the sorted hashes are searched.
+            w, at = np.nonzero(self.filter[rolled[:, low:e] >> _FILTER_SHIFT])
+            found = rolled[w, low + at]
+            slot = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            size = e - low - at
+            # A hash hit counts only if the characters agree.
+            hit = (self.hashes[slot] == found) & (self.sizes[slot] == size)
+            w, at, slot, size = w[hit], at[hit], slot[hit], size[hit]
+            for k in range(int(size.max(initial=0))):
+                inside = size > k
+                hit = ~inside
+                hit[inside] = self.points[slot[inside], k] == text[w[inside], low + at[inside] + k]
+                if not hit.all():
+                    w, at, slot, size = w[hit], at[hit], slot[hit], size[hit]
+            gain = np.full((n, e - low), -np.inf)
+            gain[:, -1] = best[:, e - 1] + self.unknown_score
             if self.kind == "bpe":
-                fits = (low + at == 0) | self._go_together(piece[w, low + at], self.ids[slot[w, at]])
-                gain = np.full(hit.shape, -np.inf)
-                gain[w[fits], at[fits]] = 1
-                gain[lone, -1] = 0
+                fits = (low + at == 0) | self._go_together(piece[w, low + at], self.ids[slot])
+                w, at, slot = w[fits], at[fits], slot[fits]
+                gain[w, at] = 1
             else:
-                gain = np.where(hit, best[:, low:e] + self.scores[slot], -np.inf)
-                gain[lone, -1] = best[lone, e - 1] + self.unknown_score
-            at = e - low - 1 - np.argmax(gain[:, ::-1], axis=1)  # of equals, the shortest piece
-            best[:, e] = gain[rows, at]
-            start[:, e] = low + at
-            piece[:, e] = np.where(hit[rows, at], self.ids[slot[rows, at]], -1)
+                gain[w, at] = best[w, low + at] + self.scores[slot]
+            name = np.full((n, e - low), -1, np.int32)
+            name[w, at] = self.ids[slot]
+            pick = e - low - 1 - np.argmax(gain[:, ::-1], axis=1)  # of equals, the shortest piece
+            best[:, e] = gain[rows, pick] if self.kind == "unigram" else 0
+            start[:, e] = low + pick
+            piece[:, e] = name[rows, pick]
         # Walk all words back at once; column k from the right holds the k-th piece from the end.
         ids, count = np.full((n, length), -1, np.int32), np.zeros(n, np.int64)
         odd = np.zeros(n, bool)
@@ -254,15 +277,22 @@ class Pieces:
             out[i] = np.frombuffer(b"".join(self._parts(words)), np.int32)
         return out
 
-    def decode(self, ids) -> str:
-        whole = b"".join([self.bytes_of[i] for i in np.asarray(ids, np.int64).tolist()]).decode("utf-8", "replace")
-        return whole[1:] if whole.startswith(" ") else whole
+    def decode(self, encoded: list) -> list[str]:
+        """The texts of lists of ids; the blank that stands before every text goes."""
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.concatenate([np.asarray(x, np.int64) for x in encoded]) if sizes.sum() else np.zeros(0, np.int64)
+        size = self.raw_size[flat]
+        ends = np.cumsum(size)
+        whole = self.raw[np.repeat(self.raw_at[flat] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [whole[a + (a < b and whole[a] == 32) : b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 _MODELS: dict[tuple[int, str], Pieces] = {}
 
 
 def pieces(proto: bytes, kind: str = "bpe") -> Pieces:
+    claim("pieces", _MODELS)
     key = (zlib.crc32(proto), kind)
     if key not in _MODELS:
         _MODELS.clear()
@@ -296,7 +326,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(proto.value)
         for batch in batches:
-            texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = model.decode([ids or [] for ids in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
@@ -317,7 +347,7 @@ def digest(docs: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([int(bytes_[x].sum()) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([model.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()),
+                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([a == b for a, b in zip(model.decode(ids), texts, strict=True)], pa.bool_()),
                     ],
                     names=["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "restored"],
                 )
