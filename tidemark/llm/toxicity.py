@@ -7,8 +7,8 @@ continuations, and every count is discounted by one, so that what was seen once
 word's log-likelihoods under the two models is its evidence.
 
 A document's evidence is normalised by its length in distinct words: the mean difference, the mean of what exceeds
-``MILD``, and the share of words above ``HOT``, beside its second and third strongest words. A logistic curve with no
-negative weight, fitted on labelled rows kept out of the counts, turns it into a score.
+``MILD``, and the share of words above ``HOT``, beside its three strongest words. A logistic curve with no
+negative weight, fitted on evidence from models that hadn't counted the document, turns it into a score.
 
 What is fitted: at most ``SAMPLE_ROWS`` labelled rows of each class and ``SAMPLE_CHARS`` characters in all, taken by hash
 order; this bounds the tables, and so the broadcast. What is counted: the shared counts come from every document. What is
@@ -21,6 +21,7 @@ doc_id are scored and not held out; repeated rows are scored each.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import documents, ship, slices, table, without
+from tidemark.llm.common import claim, documents, ship, slices, table, trim, without
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 16_000_000
@@ -40,6 +41,7 @@ HOT, MILD = 3.0, 1.5
 THRESHOLD = 0.7
 BATCH_CHARS = 4_000_000
 CACHE_WORDS = 300_000
+PARTS, MEASURES = 3, 6
 _BYTE = np.uint64(8)
 _MASK = [np.uint64((1 << (8 * n)) - 1) for n in range(9)]
 # Letters of A-Z are lower-cased; other ASCII characters that aren't letters or digits part words.
@@ -173,13 +175,13 @@ def evidence(texts: list[str], orders: list[Order], cache: dict[bytes, float] |
     order = np.lexsort((-gain, owner))
     ranked, first = gain[order], np.cumsum(n) - n
 
-    def strongest(k: int) -> np.ndarray:
-        return np.where(n > k, np.clip(ranked[np.minimum(first + k, max(len(ranked) - 1, 0))], 0, 6), 0) if len(ranked) else np.zeros(len(texts))
+    def strongest(k: int, most: float = 6) -> np.ndarray:
+        return np.where(n > k, np.clip(ranked[np.minimum(first + k, max(len(ranked) - 1, 0))], 0, most), 0) if len(ranked) else np.zeros(len(texts))
 
     # The shares are capped where more says nothing new, and scaled to the size of the others.
     return np.column_stack([
         np.clip(mean(gain), -2, 2), 100 * np.clip(mean(np.clip(gain - MILD, 0, 5)), 0, 0.15),
-        100 * np.clip(mean(gain > HOT), 0, 0.05), strongest(1), strongest(2),
+        100 * np.clip(mean(gain > HOT), 0, 0.05), strongest(0, 20), strongest(1), strongest(2),
     ])
 
 
@@ -277,16 +279,27 @@ def class_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """None if a class has no example."""
     ship(docs.sparkSession)
-    known = sample(docs, labels, rows, chars)
-    learn = [r for i, r in enumerate(known) if i % 5]
-    tune = [r for i, r in enumerate(known) if i % 5 == 0]
-    if len({y for _, y in learn}) < 2 or len({y for _, y in tune}) < 2:
-        learn = tune = known
-    if len({y for _, y in learn}) < 2:
+    return train(sample(docs, labels, rows, chars), lambda: shared_counts(docs))
+
+
+def train(known: list[tuple[str, int]], shared) -> Model | None:
+    """The model of labelled texts; ``shared`` gives the counts of all documents. Each part's evidence for the curve comes
+    from models that were counted on the other parts."""
+    both = lambda rows: {y for _, y in rows} == {0, 1}
+    if not both(known):
         return None
-    orders = _train([class_words([t for t, y in learn if y == c]) for c in (0, 1)], shared_counts(docs))
-    x = evidence([t for t, _ in tune], orders)
-    return Model(orders, _logistic(x, np.array([y for _, y in tune], float)))
+    counts = shared()
+    orders_of = lambda rows: _train([class_words([t for t, y in rows if y == c]) for c in (0, 1)], counts)
+    # Copies of a text stay in one part.
+    part = np.array([zlib.crc32(t.encode("utf-8", "replace")) % PARTS for t, _ in known])
+    x = np.zeros((len(known), MEASURES))
+    for k in range(PARTS):
+        rest = [r for r, p in zip(known, part, strict=True) if p != k]
+        own = np.flatnonzero(part == k)
+        if len(own):
+            x[own] = evidence([known[i][0] for i in own], orders_of(rest if both(rest) else known))
+            trim()
+    return Model(orders_of(known), _logistic(x, np.array([y for _, y in known], float)))
 
 
 _GAINS: dict[int, dict[bytes, float]] = {}
@@ -294,6 +307,7 @@ _GAINS: dict[int, dict[bytes, float]] = {}
 
 def _scored(model, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", _GAINS)
         m: Model = model.value
         if model.id not in _GAINS:
             _GAINS.clear()
