@@ -107,6 +107,27 @@ def test_a_crash_before_the_manifest_leaves_the_old_state(spark, store, monkeypa
     assert len(again.gc(grace=0)) == 1
 
 
+def test_writes_flush_and_compact_by_themselves(spark, tmp_path):
+    store = KVStore(spark, str(tmp_path / "auto"), memory_bytes=80)
+    for i in range(8):
+        store.batch_set([(f"k{i}", "v" * 20), ("same", str(i))], now=NOW)
+    assert store.metrics()["flush_count"] == 8
+    assert store.metrics()["compaction_count"] >= 1
+    assert live(store) == {f"k{i}": "v" * 20 for i in range(8)} | {"same": "7"}
+    store.delete("same", NOW)
+    store.compact_all(NOW)
+    assert sum(s.entry_count for s in store.manifest.segments) == 8
+
+
+def test_cached_snapshot_follows_the_store(store):
+    store.set("a", "1", now=NOW)
+    assert store.snapshot().count() == store.snapshot().count() == 1
+    store.set("b", "1", now=NOW)
+    assert store.snapshot().count() == 2
+    assert (store.metrics()["cache_hits"], store.metrics()["cache_misses"]) == (1, 2)
+    store.forget()
+
+
 def test_pruning_reads_only_files_that_may_hold_the_key(store):
     for k in ("a", "m", "z"):
         store.set(k, k, now=NOW)

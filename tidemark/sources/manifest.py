@@ -51,6 +51,7 @@ class LogPart:
     max_seq: int
     size_bytes: int
     mtime: int
+    entry_bytes: int = 0  # as accounted in memory
     flushed: bool = False
 
 

@@ -39,11 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 class KVStore:
     """The methods of the service, over one folder."""
 
-    def __init__(self, spark: SparkSession, path: str, profile: EngineProfile | str = "lsm", writable: bool = True, memory_bytes: int = 4 << 20):
+    def __init__(self, spark: SparkSession, path: str, profile: EngineProfile | str = "lsm", writable: bool = True, memory_bytes: int = 4 << 20, auto: bool = True):
+        """``auto``: open log parts of ``memory_bytes`` and more are flushed, and levels compacted, as writes come in."""
         self.spark, self.folder = spark, Folder(spark, path)
         self.path = self.folder.path
         self.profile = PROFILES[profile] if isinstance(profile, str) else profile
-        self.writable, self.memory_bytes = writable, memory_bytes
+        self.writable, self.memory_bytes, self.auto = writable, memory_bytes, auto
+        self._cached: tuple[manifests.Manifest, DataFrame] | None = None
         if writable:
             self.folder.make()
         self.manifest = manifests.load(self.folder)
@@ -66,6 +68,7 @@ class KVStore:
     def _install(self, manifest: manifests.Manifest) -> None:
         manifests.save(self.folder, manifest)
         self.manifest = manifest
+        self.forget()
 
     # Writing.
 
@@ -79,14 +82,17 @@ class KVStore:
         self._guard()
         name = f"log-{self.manifest.next_id:09d}"
         rows.select(*KV_LOG.names).write.option("compression", "zstd").parquet(self.folder.full(name))
-        part = segments.read(self.spark, self.folder, [name]).agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+        part = segments.read(self.spark, self.folder, [name]).agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.sum(entry_bytes()).alias("size")).first()
         kept = self.manifest.parts
         if part.a is not None and part.a <= self.manifest.gc_seq:
             self.folder.delete(name)
             raise InvalidArgument(f"entry {part.a} is older than the collected history, which ends at {self.manifest.gc_seq}")
         if part.b is not None:
-            kept = (*kept, manifests.LogPart(name, part.a, part.b, self.folder.size(name), self.folder.modified(name)))
+            kept = (*kept, manifests.LogPart(name, part.a, part.b, self.folder.size(name), self.folder.modified(name), part.size))
         self._install(replace(self.manifest, next_id=self.manifest.next_id + 1, last_seq=max(self.manifest.last_seq, part.b or 0), parts=kept))
+        if self.auto and self.needs_flush():
+            self.flush()
+            self.maybe_compact()
 
     def _append(self, items: list[tuple[str, str | None, int]], now: int) -> None:
         most = self.profile.most_entry_bytes
@@ -215,6 +221,21 @@ class KVStore:
     def live(self, now: int | None = None) -> DataFrame:
         return newest(self.rows()).where(is_live(current_timestamp() if now is None else now))
 
+    def snapshot(self) -> DataFrame:
+        """The newest version of every key, kept in memory or on disk until the store changes or ``forget`` is called."""
+        if self._cached is None or self._cached[0] != self.manifest:
+            self.forget()
+            self._cached = (self.manifest, newest(self.rows()).persist())
+            self.counters["cache_misses"] += 1
+        else:
+            self.counters["cache_hits"] += 1
+        return self._cached[1]
+
+    def forget(self) -> None:
+        if self._cached is not None:
+            self._cached[1].unpersist()
+            self._cached = None
+
     def get_with_expire_at(self, key: str, now: int | None = None) -> tuple[str, int]:
         now = current_timestamp() if now is None else now
         self.counters["get_count"] += 1
@@ -267,7 +288,7 @@ class KVStore:
     # Maintenance.
 
     def needs_flush(self) -> bool:
-        return (self._tail().agg(F.sum(entry_bytes())).first()[0] or 0) >= self.memory_bytes
+        return sum(p.entry_bytes for p in self._open_parts()) >= self.memory_bytes
 
     def flush(self) -> None:
         """The newest versions of the open log parts become a level 0 segment; the LSN is what it really holds."""
@@ -328,6 +349,23 @@ class KVStore:
         self.counters["compaction_bytes_read"] += size
         self.counters["compaction_bytes_written"] += sum(s.size_bytes for s in added)
 
+    def compact_all(self, now: int | None = None) -> None:
+        """Flush, then rewrite everything as one sorted run without deleted and expired rows."""
+        now = current_timestamp() if now is None else now
+        self.flush()
+        sources = self.manifest.segments
+        if not sources:
+            return
+        rows = newest(segments.read(self.spark, self.folder, [s.filename for s in sources]), "ts").where(is_live(now))
+        size = sum(s.size_bytes for s in sources)
+        level = max(max(self.manifest.levels()), 1)
+        name = f"seg-{self.manifest.next_id:09d}"
+        added = tuple(segments.segment(self.folder, path, level, stats) for path, stats in segments.write_run(rows, self.folder, name, max(1, -(-size // FILE_BYTES))))
+        self._install(replace(self.manifest, next_id=self.manifest.next_id + 1, gc_seq=max(s.max_seq for s in sources), segments=added))
+        self.counters["compaction_count"] += 1
+        self.counters["compaction_bytes_read"] += size
+        self.counters["compaction_bytes_written"] += sum(s.size_bytes for s in added)
+
     def retain(self, now: int | None = None, most_age: int = RETENTION_SECONDS, most_bytes: int = RETENTION_BYTES) -> list[str]:
         """Drop flushed log parts that are too old, and oldest first while the rest is too large; their names."""
         now = current_timestamp() if now is None else now
@@ -357,9 +395,11 @@ class KVStore:
     def metrics(self) -> dict[str, float]:
         """Counters, and ratios that are 0 where nothing was counted."""
         out: dict[str, float] = {k: self.counters[k] for k in (
-            "get_count", "set_count", "delete_count", "segments_searched", "segments_pruned", "flush_count", "compaction_count", "compaction_bytes_read", "compaction_bytes_written",
+            "get_count", "set_count", "delete_count", "segments_searched", "segments_pruned", "flush_count", "compaction_count", "compaction_bytes_read", "compaction_bytes_written", "cache_hits", "cache_misses",
         )}
         seen = out["segments_searched"] + out["segments_pruned"]
+        lookups = out["cache_hits"] + out["cache_misses"]
+        out["cache_hit_ratio"] = out["cache_hits"] / lookups if lookups else 0.0
         out["pruning_ratio"] = out["segments_pruned"] / seen if seen else 0.0
         out |= {"segment_count": len(self.manifest.segments), "segment_bytes": sum(s.size_bytes for s in self.manifest.segments), "open_parts": len(self._open_parts()), "last_seq": self.manifest.last_seq}
         return out
