@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -86,3 +87,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+_CLAIMED: dict[str, dict] = {}
+
+
+def claim(name: str, cache: dict) -> dict:
+    """A worker's cache for one operator; those that other operators left in this worker are emptied first."""
+    for other, held in _CLAIMED.items():
+        if other != name:
+            held.clear()
+    _CLAIMED[name] = cache
+    return cache
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker serves one task after another."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import documents, ship, slices, table
+from tidemark.llm.common import claim, documents, ship, slices, table
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
@@ -128,6 +128,7 @@ _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 
 def tokenizer(spec: str) -> WordTokenizer:
+    claim("packing", _TOKENIZERS)
     key = hash(spec)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, ship, table, without
+from tidemark.llm.common import claim, cut, ship, table, trim, without
 
 LENGTH = 50
 GRAM = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 PLACE_BITS = 28
 LAST = (1 << 63) - 1  # the id of rows without one
@@ -249,8 +249,8 @@ def blocks(docs: DataFrame, id_name: str = "doc_id", text_name: str = "text", si
 
 
 def bucket_count(total: int) -> int:
-    """Buckets of about 4 MB of text each while that makes few, of 64 MB beyond."""
-    return max(1, -(-total // (64 << 20)), min(256, -(-total // (4 << 20))))
+    """Buckets of about 1 MB of text each while that makes few, of 16 MB beyond: what a bucket is sent fits a task."""
+    return max(1, -(-total // (16 << 20)), min(1024, -(-total // (1 << 20))))
 
 
 def _ask(id_name: str, text_name: str, n: int):
@@ -258,11 +258,15 @@ def _ask(id_name: str, text_name: str, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in range(batch.num_rows):  # a batch holds many blocks; one at a time is taken out
+                number, blob = (batch.column(c)[row].as_py() for c in range(2))
                 block = Block.read(blob, id_name, text_name)
                 names, several, _ = _triggers(block, parse(block.text, block.ends))
+                claim("repeats", {})
                 parts = [(k, _squeeze(np.diff(names[rows], prepend=np.uint64(0)), np.packbits(several[rows]))) for k, rows in _runs(_buckets(names, n))]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "block", "blob"])
+                del block, names, several, parts
+                trim()
 
     return run
 
@@ -296,7 +300,8 @@ def _tell(id_name: str, text_name: str, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, blob, replies in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for row in range(batch.num_rows):
+                number, blob, replies = (batch.column(c)[row].as_py() for c in range(3))
                 block = Block.read(blob, id_name, text_name)
                 p = parse(block.text, block.ends)
                 names, _, slot = _triggers(block, p)
@@ -308,6 +313,8 @@ def _tell(id_name: str, text_name: str, n: int):
                     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     parts.append((k, _squeeze(block.text[at], size.astype(np.uint16), (p.at[own] - begin).astype(np.uint16), e.first[rows])))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "block", "blob"])
+                del block, p, names, slot, e, parts
+                trim()
 
     return run
 
@@ -362,7 +369,7 @@ def _dictionary(t: pa.Table) -> pa.Table:
     trigger = np.fromiter((grams.setdefault(b[m : m + GRAM], len(grams)) for b, m in number), np.int64, len(number))
     lone = np.bincount(trigger, minlength=len(grams))[trigger] == 1
     state = (lone[of] & (first[of] < doc)).astype(np.uint8)
-    del bodies, number, grams
+    del raw, bodies, number, grams
     sample = np.zeros(len(first), np.int64)
     sample[of] = np.arange(len(of))
     several = np.flatnonzero(~lone)
@@ -405,7 +412,7 @@ def removed(block: Block, p: Parse, e: Entries, replies: dict[int, bytes]) -> np
         part = np.zeros(len(own), np.uint32)
         part[own == 2] = some
         masks[rows] = part
-    change = np.zeros(len(block.text) + 1, np.int32)
+    change = np.zeros(len(block.text) + 1, np.int16)  # windows over a byte: at most LENGTH
     used = np.flatnonzero(e.of >= 0)
     entry = e.of[used]
     later = block.documents_of(p)[used] > e.first[entry]
@@ -417,7 +424,7 @@ def removed(block: Block, p: Parse, e: Entries, replies: dict[int, bytes]) -> np
         at = p.begin[used[some[masks[entry[some]] >> np.uint32(j) & np.uint32(1) > 0]]] + j
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int16) > 0
 
 
 RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
@@ -426,7 +433,8 @@ RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.
 def _mark(id_name: str, text_name: str, n: int, with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, shared, told in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for row in range(batch.num_rows):
+                blob, shared, told = (batch.column(c)[row].as_py() for c in range(3))
                 block = Block.read(blob, id_name, text_name)
                 p = parse(block.text, block.ends)
                 names, _, slot = _triggers(block, p)
@@ -444,7 +452,12 @@ def _mark(id_name: str, text_name: str, n: int, with_kept: bool):
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2
                 columns = [pa.array([r[c] for r in rows], kinds[c]) for c in range(4 + with_kept)]
                 whole = [c.combine_chunks() for c in block.table.columns]
-                yield pa.RecordBatch.from_arrays([*whole, *columns], names=[*block.table.column_names, *[name for name, _ in RESULT[: 4 + with_kept]]])
+                names = [*block.table.column_names, *[name for name, _ in RESULT[: 4 + with_kept]]]
+                del block, p, slot, e, gone, rows
+                yield pa.RecordBatch.from_arrays([*whole, *columns], names=names)
+                del whole, columns
+                trim()
+
 
     return run
 
