@@ -77,6 +77,12 @@ def test_late_old_entries_are_refused_after_collection(spark, store):
     assert live(store) == {"b": "1"}
 
 
+def test_logs_of_an_older_form(spark, store):
+    store.ingest(spark.createDataFrame([(1, "a", "1"), (2, "b", None)], "seq bigint, key string, value string"))
+    assert store.get_with_expire_at("a", NOW) == ("1", 0)
+    assert live(store) == {"a": "1"}
+
+
 def test_trigger_and_garbage(store):
     for i in range(4):
         assert store.compaction_level() is None

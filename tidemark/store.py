@@ -78,8 +78,9 @@ class KVStore:
 
     def ingest(self, rows: DataFrame) -> None:
         """Append KV_LOG rows that have their seq; one job, one log part. Rows may repeat, but not be older than what
-        compaction has collected."""
+        compaction has collected. Logs of an older form, without ts or expire_at, get 0 for them."""
         self._guard()
+        rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in ("ts", "expire_at") if c not in rows.columns})
         name = f"log-{self.manifest.next_id:09d}"
         rows.select(*KV_LOG.names).write.option("compression", "zstd").parquet(self.folder.full(name))
         part = segments.read(self.spark, self.folder, [name]).agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.sum(entry_bytes()).alias("size")).first()
