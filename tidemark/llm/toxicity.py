@@ -21,6 +21,7 @@ doc_id are scored and not held out; repeated rows are scored each.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,13 +35,14 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import claim, documents, ship, slices, table, trim, without
 
-SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 16_000_000
+SAMPLE_ROWS = 1500
+SAMPLE_CHARS = 10_000_000
 ORDER, SHARED = 8, 3
 HOT, MILD = 3.0, 1.5
 THRESHOLD = 0.7
 BATCH_CHARS = 4_000_000
 CACHE_WORDS = 300_000
+WORDS_AT_ONCE = 50_000
 PARTS, MEASURES = 3, 6
 _BYTE = np.uint64(8)
 _MASK = [np.uint64((1 << (8 * n)) - 1) for n in range(9)]
@@ -98,9 +100,14 @@ def _train(by_class: list[tuple[list[bytes], np.ndarray]], shared: tuple[np.ndar
     """The orders from (words, weights) of each class and the (trigram, count) table of all documents."""
     counts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
     for words, weights in by_class:
-        key, owner = positions(words)
-        grams, at = np.unique(key, return_inverse=True)
-        own = {ORDER: (grams, np.bincount(at, weights=weights[owner]))}
+        grams, times = np.zeros(0, np.uint64), np.zeros(0)
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            key, owner = positions(words[i : i + WORDS_AT_ONCE])
+            whole, more = np.concatenate([grams, key]), np.concatenate([times, weights[i : i + WORDS_AT_ONCE][owner]])
+            del key, owner
+            grams, at = np.unique(whole, return_inverse=True)
+            times = np.bincount(at, weights=more)
+        own = {ORDER: (grams, times)}
         for n in range(ORDER - 1, SHARED, -1):
             grams, kinds = np.unique(own[n + 1][0] & _MASK[n], return_counts=True)
             own[n] = (grams, kinds.astype(np.float64))
@@ -143,6 +150,8 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_gains(words: list[bytes], orders: list[Order]) -> np.ndarray:
     """The log-likelihood difference of each word."""
+    if len(words) > WORDS_AT_ONCE:
+        return np.concatenate([word_gains(words[i : i + WORDS_AT_ONCE], orders) for i in range(0, len(words), WORDS_AT_ONCE)])
     key, owner = positions(words)
     gain, todo = np.zeros(len(key)), np.arange(len(key))
     for o in orders:
@@ -216,28 +225,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of the bounded labelled sample, in hash order."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(turn, text, toxic) of at most ``rows`` labelled rows of each class, the first by hash."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     turn = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
-    first = None
-    for c in (0, 1):
-        part = own.where(F.col("toxic") == c).orderBy(turn, "doc_id").limit(rows)
-        first = part if first is None else first.unionAll(part)
+    parts = [own.where(F.col("toxic") == c).orderBy(turn, "doc_id").limit(rows) for c in (0, 1)]
     # At most 2 * rows ids: small enough to go to every task.
-    joined = documents(docs).join(F.broadcast(first), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sizes = sorted((r.turn, r.doc_id, r.n) for r in joined.select(turn.alias("turn"), "doc_id", F.length("text").alias("n")).collect())
-    kept, held = [], 0
-    for _, doc, n in sizes:
-        if held + n <= chars:
-            kept.append(doc)
-            held += n
-    if not kept:
-        return []
-    spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(d,) for d in kept], "doc_id bigint"))
-    return [(r.text, r.toxic) for r in joined.join(ids, "doc_id").orderBy(turn, "doc_id").collect()]
+    joined = documents(docs).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    return joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(turn.alias("turn"), "text", "toxic")
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,19 +272,37 @@ def class_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     return [names[i] for i in used], times[used].astype(np.float64)
 
 
+def _trained(shared, chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if held + len(text) <= chars:
+                    known.append((text, label))
+                    held += len(text)
+        model = train(known, shared.value)
+        trim()
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """None if a class has no example."""
-    ship(docs.sparkSession)
-    return train(sample(docs, labels, rows, chars), lambda: shared_counts(docs))
+    """None if a class has no example. The bounded sample is one task's; the driver sees the model only."""
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(shared_counts(docs))
+    chosen = sample(docs, labels, rows).coalesce(1).sortWithinPartitions("turn", "text")
+    found = chosen.mapInArrow(_trained(shared, chars), "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
-def train(known: list[tuple[str, int]], shared) -> Model | None:
-    """The model of labelled texts; ``shared`` gives the counts of all documents. Each part's evidence for the curve comes
+def train(known: list[tuple[str, int]], counts: tuple[np.ndarray, np.ndarray]) -> Model | None:
+    """The model of labelled texts; ``counts`` are the trigrams of all documents. Each part's evidence for the curve comes
     from models that were counted on the other parts."""
     both = lambda rows: {y for _, y in rows} == {0, 1}
     if not both(known):
         return None
-    counts = shared()
     orders_of = lambda rows: _train([class_words([t for t, y in rows if y == c]) for c in (0, 1)], counts)
     # Copies of a text stay in one part.
     part = np.array([zlib.crc32(t.encode("utf-8", "replace")) % PARTS for t, _ in known])
