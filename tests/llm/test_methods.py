@@ -261,6 +261,15 @@ def test_repeats_equal_brute_force(spark, block, buckets):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain_repeats(docs)
 
 
+def test_hot_phrases_equal_brute_force(spark):
+    """A form text with a number in it: one trigger, very many phrases."""
+    form = "Dear reader, your very own number for this season is {} and nobody else in the whole wide world has the same one."
+    docs = {i: form.format(i * 7919 % 4000 if i % 5 else 17) + (" and more" if i % 3 else "") for i in range(3000)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    rows = repeats.mark_repeats(frame, block_bytes=20_000, buckets=5).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain_repeats(docs)
+
+
 def test_repeats_over_documents(spark, texts):
     frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     rows = repeats.mark_repeats(frame, block_bytes=100_000, buckets=4).collect()

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_urls": urlrules.op10_urls,
 }
 ORACLES = {
+    "op3_repeats": repeats.oracle(),
     "op2_fixity": fixity.oracle(),
     "op6_quality": quality.oracle(),
     "op7_topk": topk.oracle(),

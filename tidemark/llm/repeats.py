@@ -16,7 +16,8 @@ phrases with the same trigger gram, wherever they stand.
    smaller than their own.
 
 Blocks, phrases and buckets are bounded whatever is repeated how often: a block sends a phrase once for all its documents,
-so a passage of millions of copies reaches its bucket once per block.
+so a passage of millions of copies reaches its bucket once per block. Where a trigger has many different phrases, as in a form
+text around a number, its phrases are cut into their single windows, which go to buckets of their own by their bytes.
 
 Defined cases: a null text is an empty one; a null doc_id is larger than all others; rows of one doc_id are one document
 for the comparison and are returned each; texts shorter than LENGTH stay; an empty table gives none.
@@ -43,6 +44,7 @@ GRAM = 24
 BLOCK_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 PLACE_BITS = 28
+HOT_PHRASES = 1024  # of one trigger, over all blocks
 LAST = (1 << 63) - 1  # the id of rows without one
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,7 +117,8 @@ def parse(text: np.ndarray, ends: np.ndarray) -> Parse:
         begin, last, mark = at[fresh], at[np.append(fresh[1:], len(at)) - 1], own[fresh]
         body = (run[last + LENGTH] - run[begin]) * _Tables.down[begin]
         phrase = _mixed(body + (mark - begin).astype(np.uint64) * _M1 + (last - begin).astype(np.uint64) * _M2)
-        parts.append((begin + a, last + a, mark + a, gram[mark], phrase))
+        # A trigger is the least of its window, so its hash is mixed anew: buckets are cut from even values.
+        parts.append((begin + a, last + a, mark + a, _mixed(gram[mark] + _M1), phrase))
     if not parts:
         none = np.zeros(0, np.int64)
         return Parse(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
@@ -158,6 +161,31 @@ def _triggers(block: Block, p: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return names, low != high, slot
 
 
+def _phrases_of(p: Parse, slot: np.ndarray, n: int) -> np.ndarray:
+    """How many different phrases each of n triggers has, up to what a byte holds."""
+    order = np.lexsort((p.phrase, slot))
+    s, h = slot[order], p.phrase[order]
+    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
+    return np.minimum(np.bincount(s[fresh], minlength=n), 255).astype(np.uint8)
+
+
+def _split_hot(block: Block, p: Parse, shared: np.ndarray, hot: np.ndarray) -> tuple[Parse, np.ndarray]:
+    """The parse with the phrases of hot triggers cut into their windows, each its own trigger; and what is shared."""
+    if not hot.any():
+        return p, shared
+    cold, own = np.flatnonzero(~hot), np.flatnonzero(hot)
+    n = p.last[own] - p.begin[own] + 1
+    begin = np.repeat(p.begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    names = np.empty(len(begin), np.uint64)
+    weights = _powers(_BASE, LENGTH)
+    for a in range(0, len(begin), 1 << 16):
+        part = begin[a : a + (1 << 16), None] + np.arange(LENGTH)
+        names[a : a + (1 << 16)] = _mixed(((block.text[part].astype(np.uint64) + np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64))
+    both = lambda x, y: np.concatenate([x[cold], y])
+    cut_ = Parse(both(p.begin, begin), both(p.last, begin), both(p.at, begin), both(p.trigger, names), both(p.phrase, names))
+    return cut_, np.concatenate([shared[cold], np.ones(len(begin), bool)])
+
+
 @dataclass(frozen=True)
 class Entries:
     """The distinct phrases of a block around shared triggers, by bucket and hash."""
@@ -168,8 +196,8 @@ class Entries:
     of: np.ndarray  # each phrase's entry, or -1
 
 
-def _entries(block: Block, p: Parse, names: np.ndarray, slot: np.ndarray, shared: np.ndarray, n: int) -> Entries:
-    used = np.flatnonzero(shared[slot])
+def _entries(block: Block, p: Parse, shared: np.ndarray, n: int) -> Entries:
+    used = np.flatnonzero(shared)
     order = used[np.lexsort((p.phrase[used], p.trigger[used]))]
     t, h = p.trigger[order], p.phrase[order]
     fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
@@ -261,38 +289,47 @@ def _ask(id_name: str, text_name: str, n: int):
             for row in range(batch.num_rows):  # a batch holds many blocks; one at a time is taken out
                 number, blob = (batch.column(c)[row].as_py() for c in range(2))
                 block = Block.read(blob, id_name, text_name)
-                names, several, _ = _triggers(block, parse(block.text, block.ends))
+                p = parse(block.text, block.ends)
+                names, several, slot = _triggers(block, p)
+                kinds = _phrases_of(p, slot, len(names))
                 claim("repeats", {})
-                parts = [(k, _squeeze(np.diff(names[rows], prepend=np.uint64(0)), np.packbits(several[rows]))) for k, rows in _runs(_buckets(names, n))]
+                parts = [(k, _squeeze(np.diff(names[rows], prepend=np.uint64(0)), np.packbits(several[rows]), kinds[rows])) for k, rows in _runs(_buckets(names, n))]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "block", "blob"])
-                del block, names, several, parts
+                del block, p, names, several, slot, kinds, parts
                 trim()
 
     return run
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """Step 1, in a bucket: one bit per hash of each block, set if another document has it."""
-    columns = [_unsqueeze(b, np.uint64, np.uint8) for b in t.column("blob").to_pylist()]
+    """Step 1, in a bucket: a bit per hash of each block, set if another document has it, and one set if it is hot."""
+    columns = [_unsqueeze(b, np.uint64, np.uint8, np.uint8) for b in t.column("blob").to_pylist()]
     names = [np.cumsum(c[0], dtype=np.uint64) for c in columns]
     sizes = list(map(len, names))
     several = np.concatenate([np.unpackbits(c[1], count=k).astype(bool) for c, k in zip(columns, sizes, strict=True)])
-    whole = np.concatenate(names)
-    order = np.argsort(whole, kind="stable")
-    ranked = whole[order]
-    same = ranked[1:] == ranked[:-1]
-    shared = several.copy()
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    bits = np.split(shared, np.cumsum(sizes)[:-1])
-    return pa.table([t.column("bucket"), t.column("block"), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], names=["bucket", "block", "blob"])
-
-
-def _shared(names: np.ndarray, n: int, answers: dict[int, bytes]) -> np.ndarray:
-    out = np.zeros(len(names), bool)
+    whole, kinds = np.concatenate(names), np.concatenate([c[2] for c in columns])
+    distinct, slot, times = np.unique(whole, return_inverse=True, return_counts=True)
+    again = np.zeros(len(distinct), bool)
+    again[slot[several]] = True
+    shared = (again | (times > 1))[slot]
+    hot = shared & (np.bincount(slot, weights=kinds) > HOT_PHRASES)[slot]
+    out, at = [], 0
+    for n in sizes:
+        out.append(_squeeze(np.packbits(shared[at : at + n]), np.packbits(hot[at : at + n])))
+        at += n
+    return pa.table([t.column("bucket"), t.column("block"), pa.array(out, pa.binary())], names=["bucket", "block", "blob"])
+
+
+def _told_of(block: Block, n: int, answers: dict[int, bytes]) -> tuple[Parse, Entries]:
+    """The block's parse, with hot phrases cut, and its entries, from the answers of step 1."""
+    p = parse(block.text, block.ends)
+    names, _, slot = _triggers(block, p)
+    shared, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
     for k, rows in _runs(_buckets(names, n)):
-        out[rows] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=rows.stop - rows.start).astype(bool)
-    return out
+        for out, bits in zip((shared, hot), _unsqueeze(answers[k], np.uint8, np.uint8), strict=True):
+            out[rows] = np.unpackbits(bits, count=rows.stop - rows.start).astype(bool)
+    p, used = _split_hot(block, p, shared[slot], hot[slot])
+    return p, _entries(block, p, used, n)
 
 
 def _tell(id_name: str, text_name: str, n: int):
@@ -303,9 +340,7 @@ def _tell(id_name: str, text_name: str, n: int):
             for row in range(batch.num_rows):
                 number, blob, replies = (batch.column(c)[row].as_py() for c in range(3))
                 block = Block.read(blob, id_name, text_name)
-                p = parse(block.text, block.ends)
-                names, _, slot = _triggers(block, p)
-                e = _entries(block, p, names, slot, _shared(names, n, {r["bucket"]: r["blob"] for r in replies or []}), n)
+                p, e = _told_of(block, n, {r["bucket"]: r["blob"] for r in replies or []})
                 parts = []
                 for k, rows in _runs(e.bucket):
                     own = e.sample[rows]
@@ -313,7 +348,7 @@ def _tell(id_name: str, text_name: str, n: int):
                     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     parts.append((k, _squeeze(block.text[at], size.astype(np.uint16), (p.at[own] - begin).astype(np.uint16), e.first[rows])))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names=["bucket", "block", "blob"])
-                del block, p, names, slot, e, parts
+                del block, p, e, parts
                 trim()
 
     return run
@@ -436,9 +471,7 @@ def _mark(id_name: str, text_name: str, n: int, with_kept: bool):
             for row in range(batch.num_rows):
                 blob, shared, told = (batch.column(c)[row].as_py() for c in range(3))
                 block = Block.read(blob, id_name, text_name)
-                p = parse(block.text, block.ends)
-                names, _, slot = _triggers(block, p)
-                e = _entries(block, p, names, slot, _shared(names, n, {r["bucket"]: r["blob"] for r in shared or []}), n)
+                p, e = _told_of(block, n, {r["bucket"]: r["blob"] for r in shared or []})
                 gone = removed(block, p, e, {r["bucket"]: r["blob"] for r in told or []})
                 rows: list[tuple] = []
                 a = 0
@@ -453,7 +486,7 @@ def _mark(id_name: str, text_name: str, n: int, with_kept: bool):
                 columns = [pa.array([r[c] for r in rows], kinds[c]) for c in range(4 + with_kept)]
                 whole = [c.combine_chunks() for c in block.table.columns]
                 names = [*block.table.column_names, *[name for name, _ in RESULT[: 4 + with_kept]]]
-                del block, p, slot, e, gone, rows
+                del block, p, e, gone, rows
                 yield pa.RecordBatch.from_arrays([*whole, *columns], names=names)
                 del whole, columns
                 trim()
@@ -487,3 +520,19 @@ def mark_repeats(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_repeats(docs).drop("text")
+
+
+def oracle() -> str:
+    n = LENGTH
+    return f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+w AS (SELECT doc_id, p, hash(t[p + 1 : p + {n}]) AS s FROM (SELECT doc_id, t, unnest(range(0, n_bytes - {n - 1})) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+dup AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER o + {n} THEN 1 ELSE 0 END AS gap FROM w JOIN f USING (s) WHERE first < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM dup) GROUP BY doc_id, k),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS upto, string_agg(hex(t[since + 1 : a]), '' ORDER BY a) AS kept
+         FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(t[coalesce(upto, 0) + 1 : n_bytes]))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)"""
