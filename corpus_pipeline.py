@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, repeats, simhash, toxicity
+from tidemark.llm import neardup, packing, pii, repeats, toxicity
 from tidemark.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that of the smallest id of each group stays."""
+    return neardup.keep_one(docs.select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
