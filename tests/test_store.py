@@ -279,3 +279,16 @@ def test_store_equals_a_dictionary(spark, tmp_path_factory, steps):
         else:
             store.compact(rest[0], NOW)
     assert live(store) == {k: v for k, (v, until) in model.items() if not until or NOW <= until}
+
+
+def test_a_write_compacts_at_its_own_time(spark, tmp_path):
+    store = KVStore(spark, str(tmp_path / "s"), memory_bytes=1)
+    for i in range(5):  # every write flushes, the fourth compacts
+        store.set(f"t{i}", "1", ttl_seconds=10, now=NOW)
+    assert store.counters["compaction_count"] > 0
+    assert set(live(store)) == {f"t{i}" for i in range(5)}
+    rows = KVStore(spark, str(tmp_path / "r"), memory_bytes=1)
+    for i in range(5):
+        rows.ingest(spark.createDataFrame([(i + 1, NOW, f"t{i}", "1", NOW + 10)], KV_LOG), NOW)
+    assert rows.counters["compaction_count"] > 0
+    assert set(live(rows)) == {f"t{i}" for i in range(5)}

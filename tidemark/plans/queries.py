@@ -228,7 +228,7 @@ def kv_store_live(s: SparkSession, d: str) -> DataFrame:
     store = KVStore(s, scratch(s, "store"))
     last = log.agg(F.max("seq")).first()[0] or 0
     for part in range(5):
-        store.ingest(log.where(F.col("seq").between(last * part // 5 + (part > 0), last * (part + 1) // 5)))
+        store.ingest(log.where(F.col("seq").between(last * part // 5 + (part > 0), last * (part + 1) // 5)), NOW)
         store.flush()
         store.maybe_compact(NOW)
     return store.live(NOW)

@@ -76,9 +76,10 @@ class KVStore:
         if not self.writable:
             raise ReadOnlyError("this store is a read-only replica")
 
-    def ingest(self, rows: DataFrame) -> None:
+    def ingest(self, rows: DataFrame, now: int | None = None) -> None:
         """Append KV_LOG rows that have their seq; one job, one log part. Rows may repeat, but not be older than what
-        compaction has collected. Logs of an older form, without ts or expire_at, get 0 for them."""
+        compaction has collected. Logs of an older form, without ts or expire_at, get 0 for them. A compaction that this
+        sets off takes rows as expired at ``now``."""
         self._guard()
         rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in ("ts", "expire_at") if c not in rows.columns})
         name = f"log-{self.manifest.next_id:09d}"
@@ -93,7 +94,7 @@ class KVStore:
         self._install(replace(self.manifest, next_id=self.manifest.next_id + 1, last_seq=max(self.manifest.last_seq, part.b or 0), parts=kept))
         if self.auto and self.needs_flush():
             self.flush()
-            self.maybe_compact()
+            self.maybe_compact(now)
 
     def _append(self, items: list[tuple[str, str | None, int]], now: int) -> None:
         most = self.profile.most_entry_bytes
@@ -101,7 +102,7 @@ class KVStore:
             if most is not None and 32 + len(k.encode()) + len((v or "").encode()) > most:
                 raise InvalidArgument(f"an entry is larger than {most} bytes")
         first = self.manifest.last_seq + 1
-        self.ingest(self.spark.createDataFrame([(first + i, now, k, v, e) for i, (k, v, e) in enumerate(items)], KV_LOG))
+        self.ingest(self.spark.createDataFrame([(first + i, now, k, v, e) for i, (k, v, e) in enumerate(items)], KV_LOG), now)
 
     def set(self, key: str, value: str, ttl_seconds: int = 0, now: int | None = None, if_not_exists: bool = False, if_match: str | None = None) -> bool:
         """A plain set clears any time to live. The conditions turn it into a compare-and-set."""
@@ -136,7 +137,7 @@ class KVStore:
         now = current_timestamp() if now is None else now
         self._guard()
         before = self.manifest.parts
-        self.ingest(mutate.set_rows(items, self.manifest.last_seq + 1, now))
+        self.ingest(mutate.set_rows(items, self.manifest.last_seq + 1, now), now)
         added = [p for p in self.manifest.parts if p not in before]
         n = added[0].max_seq - added[0].min_seq + 1 if added else 0
         self.counters["set_count"] += n
@@ -194,7 +195,7 @@ class KVStore:
         name = f"cas-{self.manifest.next_id:09d}"
         folded.write.parquet(self.folder.full(name))  # both results and rows come from one run of the fold
         done = self.spark.read.parquet(self.folder.full(name))
-        self.ingest(mutate.cas_rows(done, now))
+        self.ingest(mutate.cas_rows(done, now), now)
         return mutate.cas_results(done)
 
     # Reading.
