@@ -292,3 +292,15 @@ def test_a_write_compacts_at_its_own_time(spark, tmp_path):
         rows.ingest(spark.createDataFrame([(i + 1, NOW, f"t{i}", "1", NOW + 10)], KV_LOG), NOW)
     assert rows.counters["compaction_count"] > 0
     assert set(live(rows)) == {f"t{i}" for i in range(5)}
+
+
+def test_a_follower_takes_older_rows_after_it_compacted(spark, tmp_path):
+    leader = KVStore(spark, str(tmp_path / "leader"))
+    follower = Follower(spark, leader.path, str(tmp_path / "f"))
+    follower.store.memory_bytes = 1
+    for i in range(6, 0, -1):  # newest first; every batch flushes, the fourth compacts
+        follower._apply(spark.createDataFrame([(i, NOW, f"k{i}", "1", 0), (i + 10, NOW, "d", None if i == 6 else "1", 0)], KV_LOG), 0)
+    assert follower.store.counters["compaction_count"] > 0
+    assert live(follower) == {f"k{i}": "1" for i in range(1, 7)}  # d's deletion is its newest version
+    follower.promote()
+    assert follower.store.collects

@@ -241,13 +241,13 @@ def kv_stream_apply(s: SparkSession, d: str) -> DataFrame:
 
     log = log_now(s, d)
     leader = KVStore(s, scratch(s, "leader"))
-    leader.ingest(log.where("seq < 4000"))
+    leader.ingest(log.where("seq < 4000"), NOW)
     leader.flush()
     follower = Follower(s, leader.path, scratch(s, "follower"))
     follower.bootstrap()
-    leader.ingest(log.where("seq >= 4000 AND seq < 7000"))
+    leader.ingest(log.where("seq >= 4000 AND seq < 7000"), NOW)
     follower.catch_up()
-    leader.ingest(log.where("seq >= 7000"))
+    leader.ingest(log.where("seq >= 7000"), NOW)
     follower.catch_up()
     return follower.live(NOW)
 

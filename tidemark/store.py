@@ -45,6 +45,7 @@ class KVStore:
         self.path = self.folder.path
         self.profile = PROFILES[profile] if isinstance(profile, str) else profile
         self.writable, self.memory_bytes, self.auto = writable, memory_bytes, auto
+        self.collects = True  # whether compaction may drop deleted and expired rows, and end the history there
         self._cached: tuple[manifests.Manifest, DataFrame] | None = None
         if writable:
             self.folder.make()
@@ -338,7 +339,7 @@ class KVStore:
         newest_seq = max(s.max_seq for s in sources)
         older = [p for p in self._open_parts() if p.min_seq < newest_seq]
         rows = newest(segments.read(self.spark, self.folder, [s.filename for s in sources]), "ts")
-        collect = not deeper and not older
+        collect = self.collects and not deeper and not older
         if collect:
             rows = rows.where(is_live(now))
         name = f"seg-{self.manifest.next_id:09d}"

@@ -30,6 +30,9 @@ class Follower:
         self.spark, self.leader_path = spark, leader_path.rstrip("/")
         self.store = KVStore(spark, path, writable=True)
         self.store.writable = False
+        # Files of a log part come in any order, so rows older than applied ones are still to come: until the promotion,
+        # compaction collects nothing, and gc_seq stays where the bootstrap put it.
+        self.store.collects = False
         self.checkpoint = f"{self.store.path}/cursor"
         self._query = None
 
@@ -101,7 +104,7 @@ class Follower:
         if self.writable:
             return False, "already a leader"
         self.stop()
-        self.store.writable = True
+        self.store.writable = self.store.collects = True
         return True, "promoted"
 
     def live(self, now: int) -> DataFrame:
