@@ -47,3 +47,13 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     plan = reads.count_prefix(spark.read.parquet(path), "user:0000", NOW)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(key,user:0000)" in plan
     assert "ts:" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_deletions_win_over_any_seq(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (event_id + 24000000 AS event_id) FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("kv_delete_effect", "kv_batch_set_result"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        theirs = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(theirs, key=repr)

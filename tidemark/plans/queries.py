@@ -81,18 +81,21 @@ def kv_set_expire_at_filter(s: SparkSession, d: str) -> DataFrame:
     return kv_log(s, d).groupBy(mutate.accepted(NOW).alias("accepted")).agg(F.count("*").alias("n"))
 
 
+def _next_seq(log: DataFrame) -> int:
+    return (log.agg(F.max("seq")).first()[0] or 0) + 1
+
+
 def kv_batch_set_result(s: SparkSession, d: str) -> DataFrame:
     log = log_now(s, d)
-    base = 10_000_000
     items = s.createDataFrame([(i, k, v) for i, (k, v) in enumerate(ITEMS)], "pos bigint, key string, value string")
-    after = log.unionByName(mutate.set_rows(items, base, NOW))
+    after = log.unionByName(mutate.set_rows(items, _next_seq(log), NOW))
     done = reads.scan_prefix(after, "team:", NOW)
     return done.select("key", "value", F.lit(len(ITEMS)).cast("bigint").alias("submitted"))
 
 
 def kv_delete_effect(s: SparkSession, d: str) -> DataFrame:
     log = log_now(s, d)
-    gone = mutate.delete_rows(requests(s), 10_000_000, NOW)
+    gone = mutate.delete_rows(requests(s), _next_seq(log), NOW)
     return reads.scan_prefix(log.unionByName(gone), "user:0000", NOW).select("key", "value")
 
 
