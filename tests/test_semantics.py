@@ -48,7 +48,32 @@ def test_batch_get_orders_and_duplicates(spark):
     asked = spark.createDataFrame(list(enumerate(["c", "a", "nonexistent", "b", "a"])), "pos bigint, key string")
     found = sorted((r.pos, r.key, r.value) for r in reads.batch_get(rows, asked, NOW).collect())
     assert found == [(0, "c", "3"), (1, "a", "1"), (3, "b", "2"), (4, "a", "1")]
-    assert sorted(r.key for r in reads.batch_get(rows, asked, NOW, ordered=False, n_keys=5).collect()) == ["a", "b", "c"]
+    assert sorted(r.key for r in reads.batch_get(rows, asked, NOW, ordered=False).collect()) == ["a", "b", "c"]
+
+
+def test_long_request_lists_are_joined_by_shuffle(spark, monkeypatch):
+    rows = log(spark, *[(f"k{i}", str(i), 0) for i in range(20)])
+    asked = spark.createDataFrame([(i, f"k{i % 30}") for i in range(40)], "pos bigint, key string")
+    few = sorted(map(tuple, reads.batch_get(rows, asked, NOW).collect()))
+    assert reads.is_small(asked)
+    monkeypatch.setattr(reads, "BROADCAST_KEYS", 39)
+    assert not reads.is_small(asked)
+    many = reads.batch_get(rows, asked, NOW)
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 30
+    monkeypatch.setattr(reads, "BROADCAST_KEYS", 100)
+    monkeypatch.setattr(reads, "BROADCAST_BYTES", 10)
+    assert not reads.is_small(asked)
+
+
+def test_counts_hash_instead_of_sorting(spark):
+    plan = reads.count_prefix(log(spark, ("a", "1", 0)), "", NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_index_prefixes_cross_groups(spark):
+    keys = ["a", "aaaaaaaaab", "aaaaaaaabb", "aaaaaaab", "ab", "b", "bb"]
+    got = {r.key: r.shared for r in maintenance.index_prefixes(spark.createDataFrame([(k,) for k in keys], "key string"), restart=4, lead=8).collect()}
+    assert got == {"a": 0, "aaaaaaaaab": 1, "aaaaaaaabb": 8, "aaaaaaab": 7, "ab": 0, "b": 0, "bb": 1}
 
 
 def test_prefixes_are_literal(spark):

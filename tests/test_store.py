@@ -94,7 +94,13 @@ def test_trigger_and_garbage(store):
     gone = store.gc(grace=0)
     assert len(gone) == 4
     assert len(live(store)) == 4
-    assert len(store.retain(NOW, most_age=10**12, most_bytes=0)) == 4
+    parts = store.retain(NOW, most_age=10**12, most_bytes=0)
+    assert len(parts) == 4 and store.manifest.retired == manifests.number(parts[-1])
+    assert all(store.folder.exists(n) for n in parts)  # for readers of the former manifest
+    with store.folder.held():
+        assert store.gc(grace=0) == []
+    assert sorted(store.gc(grace=0)) == sorted(parts)
+    assert store.manifest.dropped == ()
     assert len(live(store)) == 4
 
 
@@ -110,6 +116,8 @@ def test_a_crash_before_the_manifest_leaves_the_old_state(spark, store, monkeypa
     monkeypatch.undo()
     again = KVStore(spark, store.path)
     assert again.get("a", NOW) == "1"
+    again.set("a", "3", now=NOW)  # beside what the crash left
+    assert again.get("a", NOW) == "3"
     assert len(again.gc(grace=0)) == 1
 
 
@@ -121,6 +129,7 @@ def test_writes_flush_and_compact_by_themselves(spark, tmp_path):
     assert store.metrics()["compaction_count"] >= 1
     assert live(store) == {f"k{i}": "v" * 20 for i in range(8)} | {"same": "7"}
     store.delete("same", NOW)
+    assert store.metrics()["flush_bytes"] > 0
     store.compact_all(NOW)
     assert sum(s.entry_count for s in store.manifest.segments) == 8
 
@@ -141,8 +150,14 @@ def test_pruning_reads_only_files_that_may_hold_the_key(store):
     store.reset_metrics()
     assert store.get("m", NOW) == "m"
     m = store.metrics()
-    assert (m["segments_searched"], m["segments_pruned"]) == (1, 2)
-    assert m["pruning_ratio"] == pytest.approx(2 / 3)
+    assert (m["segment_searches"], m["segments_pruned"], m["segment_false_positives"]) == (1, 2, 0)
+    assert m["pruning_effectiveness"] == pytest.approx(2 / 3)
+    store.batch_set([("a0", "1"), ("y", "1")], NOW)
+    store.flush()
+    assert not store.get_expire_at("n", NOW)[0]  # in the range of one file, which hasn't got it
+    assert store.metrics()["segment_false_positives"] == 1
+    assert "pruning effectiveness: 62.5 %" not in store.report() and "segment searches: 2" in store.report()
+    assert store.metrics_frame().first().get_count == 2
 
 
 def test_profiles(spark, tmp_path):
@@ -177,6 +192,13 @@ def test_compare_and_set(spark, store):
     ops = spark.createDataFrame([(first, "n", "1", "2", 0), (first + 1, "n", "1", "3", 0), (first + 2, "x", None, "4", 0)], CAS_OP)
     assert [tuple(r) for r in store.compare_and_set_batch(ops, NOW).orderBy("seq").collect()] == [(first, "n", True, "1"), (first + 1, "n", False, "2"), (first + 2, "x", True, None)]
     assert live(store) == {"k": "b", "n": "2", "x": "4"}
+    m = store.metrics()
+    assert (m["cas_count"], m["cas_conflicts"]) == (8, 3)
+    for seqs in ((1, 2), (first + 3, first + 3)):
+        with pytest.raises(InvalidArgument, match="follow"):
+            store.compare_and_set_batch(spark.createDataFrame([(q, "y", None, "1", 0) for q in seqs], CAS_OP), NOW)
+    assert store.rpc_compare_and_set("z", "ignored", "1", False, 0, NOW) == (True, "")
+    assert store.rpc_compare_and_set("z", "2", "3", True, 0, NOW) == (False, "1")
 
 
 def test_manifest_text():
@@ -226,6 +248,12 @@ def test_a_gap_asks_for_a_snapshot(spark, tmp_path):
     follower = Follower(spark, leader.path, str(tmp_path / "f"))
     with pytest.raises(SnapshotRequired):
         follower.catch_up()
+    offer = follower.source.request_snapshot(follower.store.manifest.followed)
+    assert offer.required and offer.resume == leader.manifest.retired
+    assert [r.key for f in offer.files for r in follower.source.read_snapshot(f).collect()] == ["a"]
+    for name in ("../x", "MANIFEST.json"):
+        with pytest.raises(InvalidArgument):
+            follower.source.read_snapshot(name)
     follower.bootstrap()
     follower.catch_up()
     assert {r.key for r in follower.live(NOW).collect()} == {"a", "b"}
@@ -240,11 +268,18 @@ def test_workload_and_command_line(spark, tmp_path):
     assert run("get", "user:1") == "v"
     assert run("count", "user:") == 1
     assert run("set", "user:1", "w", "--if-not-exists") is False
-    assert run("random-set", "--count", "30") == 30
-    assert run("random-cas", "--count", "20").keys() == {"succeeded", "conflicts"}
+    assert run("random-set", "--count", "30")["succeeded"] == 30
+    assert run("random-set", "--count", "3", "--each", "--ttl", "9")["p99_s"] > 0
+    assert run("random-get", "--count", "2", "--each", "--keys", "1000000")["succeeded"] == 0
+    assert run("batch-get", "--count", "30")["total"] == 30
+    cas = run("random-cas", "--count", "20")
+    assert cas["succeeded"] + cas["conflicts"] == 20
+    assert run("batch-delete", "--count", "10")["succeeded"] == 10
+    assert run("set", "user:1", "w", "--expect", "v") == {"success": True, "current_value": "v"}
     run("flush")
-    run("compact")
-    assert run("metrics")["segment_count"] >= 1
+    run("compact", "--stale-only")
+    assert run("metrics", "--json")["segment_count"] >= 1
+    assert "Compaction" in run("metrics")
 
 
 KEYS = st.sampled_from(["a", "b", "ab", "日"])
@@ -304,3 +339,185 @@ def test_a_follower_takes_older_rows_after_it_compacted(spark, tmp_path):
     assert live(follower) == {f"k{i}": "1" for i in range(1, 7)}  # d's deletion is its newest version
     follower.promote()
     assert follower.store.collects
+
+
+def rows(spark, *entries):
+    return spark.createDataFrame([(seq, NOW, k, v, 0) for seq, k, v in entries], KV_LOG)
+
+
+def test_a_deletion_stays_while_an_upper_level_has_older_entries(spark, store):
+    store.collects = False
+    store.ingest(rows(spark, (100, "k", None), (101, "z", "1")), NOW)
+    store.flush()
+    store.compact(0, NOW)
+    store.ingest(rows(spark, (50, "k", "v")), NOW)
+    store.flush()
+    store.collects = True
+    store.compact(1, NOW)  # merges the deletion downwards; level 0 has the older entry
+    assert live(store) == {"z": "1"}
+    store.compact(0, NOW)
+    assert live(store) == {"z": "1"}
+
+
+LATE = st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from([None, "1", "2"]), st.sampled_from(["flush", "compact0", "compact1", "stale", "all", ""])), min_size=4, max_size=9)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(LATE, st.randoms(use_true_random=False))
+def test_order_is_by_seq_whatever_comes_when(spark, tmp_path_factory, entries, rng):
+    """Entries come in any order of seq, with compactions in between; what is refused was collected."""
+    store, model = KVStore(spark, str(tmp_path_factory.mktemp("late"))), {}
+    seqs = list(range(1, len(entries) + 1))
+    rng.shuffle(seqs)
+    for seq, (k, v, then) in zip(seqs, entries, strict=True):
+        try:
+            store.ingest(rows(spark, (seq, k, v)), NOW)
+        except InvalidArgument:
+            assert seq <= store.manifest.gc_seq
+        else:
+            if seq > model.get(k, (0, None))[0]:
+                model[k] = (seq, v)
+        if then == "flush":
+            store.flush()
+        elif then == "all":
+            store.compact_all(NOW)
+        elif then:
+            store.flush()
+            store.compact(int(then[-1]) if then[-1].isdigit() else 0, NOW, stale_only=then == "stale")
+    assert live(store) == {k: v for k, (_, v) in model.items() if v is not None}
+
+
+@pytest.mark.parametrize("bound", [1, 1000, 4 << 20])
+def test_results_do_not_depend_on_the_bound(spark, tmp_path, bound):
+    store = KVStore(spark, str(tmp_path / "s"), memory_bytes=bound)
+    for i in range(6):
+        store.batch_set([("same", str(i)), (f"t{i}", "v", NOW + 1 + i)], NOW)
+    store.delete("t0", NOW)
+    assert live(store) == {"same": "5"} | {f"t{i}": "v" for i in range(1, 6)}
+
+
+def test_batches_as_frames(spark, store):
+    store.set("k", "v", now=NOW)
+    items = spark.createDataFrame([(0, "k", "late", NOW - 1), (1, "a", "1", 0), (2, "a", "2", NOW + 1)], "pos bigint, key string, value string, expire_at bigint")
+    assert store.batch_set_frame(items, NOW) == 3
+    assert live(store) == {"k": "v", "a": "2"}
+    for bad in ([0, 0], [0, 2], [1, 2]):
+        with pytest.raises(InvalidArgument, match="positions"):
+            store.batch_set_frame(spark.createDataFrame([(p, "x", "y") for p in bad], "pos bigint, key string, value string"), NOW)
+    assert store.batch_set_frame(items.where("pos < 0"), NOW) == 0
+    assert store.metrics()["batch_set_count"] == 3
+    assert sorted(map(tuple, store.get_expire_at_frame(items.select("pos", "key"), NOW).collect())) == [(0, "k", True, 0), (1, "a", True, NOW + 1), (2, "a", True, NOW + 1)]
+
+
+def test_stale_runs_are_merged_on_recovery(spark, store):
+    for i in range(3):
+        store.set("k", str(i), now=NOW)
+        store.flush()
+    store.recover(NOW)
+    assert sorted(s.level for s in store.manifest.segments) == [0, 0, 1]
+    assert live(store) == {"k": "2"}
+    store.recover(NOW)
+    assert store.metrics()["compaction_count"] == 1
+
+
+def test_a_segment_of_expired_rows_is_left_out(spark, store):
+    store.batch_set([("a", "1", NOW + 1), ("b", "1", NOW + 2)], NOW)
+    store.flush()
+    store.set("c", "1", now=NOW)
+    store.flush()
+    assert store.count("", NOW + 9) == 1
+    assert store.metrics()["segments_pruned"] == 1
+    store.set("a", "2", now=NOW + 9)
+    assert store.get("a", NOW + 9) == "2"
+    store.flush()
+    store.compact(0, NOW + 9)
+    assert sorted((s.entry_count, s.min_seq) for s in store.manifest.segments) == [(2, 3)]
+    older = KVStore(spark, f"{store.path}-2")
+    older.ingest(rows(spark, (1, "a", "old")), NOW)
+    older.flush()
+    older.ingest(spark.createDataFrame([(2, NOW, "a", "timed", NOW + 1)], KV_LOG), NOW)
+    older.flush()
+    assert older.count("", NOW + 9) == 0  # the expired entry hides an older one, so it must be read
+
+
+def test_a_snapshot_serves_reads_within_its_bound(spark, tmp_path):
+    store = KVStore(spark, str(tmp_path / "s"))
+    store.set("a", "1", now=NOW)
+    store.snapshot()
+    assert store.get("a", NOW) == "1" and store.count("", NOW) == 1 and store.batch_get(["a"], NOW) == [("a", "1")]
+    m = store.metrics()
+    assert (m["cache_hits"], m["cache_misses"], m["cache_entries"], m["cache_evictions"]) == (3, 1, 1, 0)
+    assert 0 < m["cache_size_bytes"] <= m["cache_max_size_bytes"]
+    store.delete("a", NOW)
+    assert store.metrics()["cache_evictions"] == 1
+    small = KVStore(spark, store.path, cache_bytes=1)
+    small.snapshot()
+    assert small.metrics()["cache_entries"] == 0
+
+
+def test_bootstrap_keeps_late_entries_of_open_log(spark, tmp_path):
+    leader = KVStore(spark, str(tmp_path / "leader"))
+    leader.ingest(rows(spark, (10, "a", "1"), (20, "b", "1")), NOW)
+    leader.flush()
+    leader.ingest(rows(spark, (5, "c", "1")), NOW)
+    follower = Follower(spark, leader.path, str(tmp_path / "f"))
+    follower.bootstrap()
+    follower.catch_up()
+    assert live(follower) == live(leader) == {"a": "1", "b": "1", "c": "1"}
+
+
+def test_a_follower_heals_a_gap(spark, tmp_path):
+    leader = KVStore(spark, str(tmp_path / "leader"))
+    leader.batch_set([("a", "1"), ("b", "1")], NOW)
+    follower = Follower(spark, leader.path, str(tmp_path / "f"))
+    assert follower.sync() is False
+    leader.delete("a", NOW)
+    leader.set("c", "1", now=NOW)
+    leader.compact_all(NOW)
+    leader.retain(NOW, most_age=10**12, most_bytes=0)
+    leader.gc(grace=0)
+    leader.set("d", "1", now=NOW)
+    assert follower.gap()
+    assert follower.sync() is True
+    assert live(follower) == live(leader) == {"b": "1", "c": "1", "d": "1"}
+    again = Follower(spark, leader.path, follower.store.path)  # resumes from the manifest
+    leader.set("e", "1", now=NOW)
+    assert again.sync() is False
+    follower.reload()
+    assert live(follower) == live(leader)
+
+
+def test_what_a_crashed_writer_left_is_not_applied(spark, tmp_path, monkeypatch):
+    leader = KVStore(spark, str(tmp_path / "leader"))
+    leader.set("a", "1", now=NOW)
+    follower = Follower(spark, leader.path, str(tmp_path / "f"))
+
+    def crash(*_):
+        raise OSError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(manifests, "save", crash)
+        with pytest.raises(OSError):
+            leader.set("x", "lost", now=NOW)
+    leader = KVStore(spark, leader.path)
+    leader.set("b", "1", now=NOW)  # under the number and the seq of what was lost
+    follower.sync()
+    assert live(follower) == live(leader) == {"a": "1", "b": "1"}
+
+
+def test_following_in_the_background(spark, tmp_path):
+    leader = KVStore(spark, str(tmp_path / "leader"))
+    leader.set("a", "1", now=NOW)
+    follower = Follower(spark, leader.path, str(tmp_path / "f"))
+    run = follower.follow(0.1)
+    assert run.wait_for(1, 60)
+    leader.delete("a", NOW)
+    leader.set("b", "1", now=NOW)
+    leader.compact_all(NOW)
+    leader.retain(NOW, most_age=10**12, most_bytes=0)
+    assert run.wait_for(run.rounds + 2, 60) and run.error is None and run.running
+    assert live(follower) == {"b": "1"}
+    follower.stop()
+    assert not run.running
+    assert follower.promote(enable_service=True) == (True, "promoted")
+    assert follower.service.info()[1] == follower.store.manifest.last_seq

@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--ttl", type=int, default=0)
     c.add_argument("--if-not-exists", action="store_true")
     c.add_argument("--if-match")
+    c.add_argument("--expect", help="as --if-match, and tells the value that is there")
     for name in ("get", "get-expire-at", "delete"):
         sub.add_parser(name).add_argument("key")
     sub.add_parser("count").add_argument("prefix")
@@ -39,9 +40,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--value-size", type=int, default=20)
         c.add_argument("--duplicate-rate", type=float, default=0.0)
         c.add_argument("--seed", type=int, default=0)
+        c.add_argument("--ttl", type=int, default=0)
+        c.add_argument("--each", action="store_true", help="one call per item, with the time of each, in place of one bulk call")
     sub.add_parser("flush")
     c = sub.add_parser("compact")
     c.add_argument("--level", type=int, default=0)
+    c.add_argument("--stale-only", action="store_true")
     c = sub.add_parser("retain")
     c.add_argument("--age", type=int, default=RETENTION_SECONDS)
     c.add_argument("--size", type=parse_size, default=RETENTION_BYTES)
@@ -52,8 +56,11 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace, spark: SparkSession) -> object:
     store = KVStore(spark, args.path, args.engine, memory_bytes=args.memory)
     now = int(time.time())
+    store.recover(now)
     match args.command:
         case "set":
+            if args.expect is not None:
+                return dict(zip(("success", "current_value"), store.rpc_compare_and_set(args.key, args.expect, args.value, True, args.ttl, now), strict=True))
             return store.set(args.key, args.value, args.ttl, now, args.if_not_exists, args.if_match)
         case "get":
             return store.get(args.key, now)
@@ -64,21 +71,29 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
         case "count":
             return store.rpc_count(args.prefix, now)
         case "metrics":
-            return store.metrics()
+            return store.metrics() if args.json else store.report()
         case "random-set" | "batch-set":
-            return store.batch_set_frame(workload.random_sets(spark, args.count, args.keys, args.value_size, args.seed), now)
+            items = workload.random_sets(spark, args.count, args.keys, args.value_size, args.seed)
+            until = now + args.ttl if args.ttl else 0
+            if args.each:
+                return workload.each(items, lambda r: store.set(r.key, r.value, args.ttl, now))
+            return workload.timed(lambda: store.batch_set_frame(items.withColumn("expire_at", F.lit(until)), now), args.count)
         case "random-get" | "batch-get":
-            return store.batch_get_frame(workload.random_gets(spark, args.count, args.keys, args.duplicate_rate, args.seed), now).count()
+            asked = workload.random_gets(spark, args.count, args.keys, args.duplicate_rate, args.seed)
+            if args.each:
+                return workload.each(asked, lambda r: store.get_expire_at(r.key, now)[0])
+            return workload.timed(lambda: store.batch_get_frame(asked, now).count(), args.count)
         case "random-cas":
-            done = store.compare_and_set_batch(workload.random_cas(spark, args.count, args.keys, store.manifest.last_seq + 1, args.seed), now)
-            return dict(done.agg(F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("conflicts")).first().asDict())
+            ops = workload.random_cas(spark, args.count, args.keys, store.manifest.last_seq + 1, args.seed)
+            out = workload.timed(lambda: store.compare_and_set_batch(ops, now).where("success").count(), args.count)
+            return out | {"conflicts": args.count - out["succeeded"], "conflict_rate": (args.count - out["succeeded"]) / max(1, args.count)}
         case "batch-delete":
-            keys = workload.random_gets(spark, args.count, args.keys, args.duplicate_rate, args.seed)
-            return store.batch_delete([r.key for r in keys.orderBy("pos").collect()], now)
+            asked = workload.random_gets(spark, args.count, args.keys, args.duplicate_rate, args.seed)
+            return workload.timed(lambda: store.batch_delete_frame(asked, now), args.count)
         case "flush":
             return store.flush()
         case "compact":
-            return store.compact(args.level, now)
+            return store.compact(args.level, now, args.stale_only)
         case "retain":
             return store.retain(now, args.age, args.size)
         case "gc":

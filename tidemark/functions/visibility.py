@@ -25,7 +25,8 @@ def status(now: int | Column) -> Column:
 
 
 def newest(log: DataFrame, *carried: str) -> DataFrame:
-    """One row per key, its highest seq; a hash aggregate that combines before the shuffle."""
+    """One row per key, its highest seq. It combines before the shuffle; as values have no fixed width, both sides of it sort by
+    key. Where values aren't needed, ``newest_keys`` hashes instead."""
     names = ["seq", "value", "expire_at", *carried]
     return log.groupBy("key").agg(F.max_by(F.struct(*names), "seq").alias("m")).select("key", *[F.col(f"m.{n}").alias(n) for n in names])
 
@@ -39,9 +40,13 @@ def live(log: DataFrame, now: int | Column, as_of_seq: int | None = None) -> Dat
 
 
 def newest_keys(log: DataFrame) -> DataFrame:
-    """(key, gone, expire_at): what counting needs; values are reduced to a flag before the shuffle."""
+    """(key, gone, expire_at): what counting needs; values are reduced to a flag before the shuffle. Expiries aren't negative."""
     flags = log.select("key", "seq", F.col("value").isNull().alias("gone"), "expire_at")
-    return flags.groupBy("key").agg(F.max_by(F.struct("gone", "expire_at"), "seq").alias("m")).select("key", "m.gone", "m.expire_at")
+    # Two numbers of fixed width, each of the highest seq: a hash aggregate, where a struct of both would be sorted. One
+    # number holds both, so that rows that share a seq can't be mixed.
+    both = F.when(F.col("gone"), -1 - F.col("expire_at")).otherwise(F.col("expire_at"))
+    found = flags.groupBy("key").agg(F.max_by(both, "seq").alias("m"))
+    return found.select("key", (F.col("m") < 0).alias("gone"), F.when(F.col("m") < 0, -1 - F.col("m")).otherwise(F.col("m")).alias("expire_at"))
 
 
 def counted(now: int | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.scalars import LOG_OVERHEAD, entry_bytes
+from tidemark.functions.scalars import LOG_OVERHEAD, common_prefix_length, entry_bytes
 from tidemark.functions.visibility import expired, newest
 
 L0_TRIGGER = 4
@@ -72,6 +72,24 @@ def stream_batches(log: DataFrame, most: int, part_rows: int = 1 << 20) -> DataF
     return placed.groupBy("batch").agg(F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
 
+def index_prefixes(keys: DataFrame, restart: int = 16, lead: int = 8) -> DataFrame:
+    """(key, shared): how many characters each of the distinct sorted keys shares with the one before it, as a sorted key column
+    stores it; every ``restart``-th key is whole.
+
+    Keys are ranked within their first ``lead`` characters, and the counts before each such group make the ranks those of
+    the whole run: only a row per group goes through one task.
+    """
+    group = F.substring("key", 1, lead)
+    own = Window.partitionBy("group").orderBy("key")
+    ranked = keys.select("key", group.alias("group")).withColumn("rn", F.row_number().over(own)).withColumn("before", F.lag("key").over(own))
+    counts = keys.groupBy(group.alias("group")).agg(F.count("*").alias("n"), F.max("key").alias("last"))
+    sofar = Window.orderBy("group")
+    offsets = counts.select("group", (F.sum("n").over(sofar) - F.col("n")).alias("skip"), F.lag("last").over(sofar).alias("last"))
+    placed = ranked.join(offsets, "group").withColumn("before", F.coalesce("before", "last"))
+    shared = F.when((F.col("rn") - 1 + F.col("skip")) % restart == 0, F.lit(0)).otherwise(common_prefix_length("key", "before"))
+    return placed.select("key", shared.cast("int").alias("shared"))
+
+
 def level_target(level: int) -> int:
     return LEVEL1_BYTES * LEVEL_FACTOR ** (level - 1)
 

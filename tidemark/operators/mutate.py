@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.visibility import is_live, newest
+from tidemark.operators.reads import wanted
 from tidemark.schema import CAS_RESULT
 
 
@@ -31,8 +32,7 @@ def delete_rows(keys: DataFrame, base_seq: int, now: int) -> DataFrame:
 
 def found_keys(log: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     """The distinct requested keys that are live."""
-    asked = keys.select("key").distinct()
-    return newest(log.join(asked, "key", "left_semi")).where(is_live(now)).select("key")
+    return newest(wanted(log, keys)).where(is_live(now)).select("key")
 
 
 def numbered(items: DataFrame, order: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.visibility import counted, is_live, newest, newest_keys
 
-#: A request list up to this many keys is broadcast; a longer one is joined by shuffle.
-BROADCAST_KEYS = 100_000
+#: A request list of at most so many keys and bytes is broadcast; a longer one is joined by shuffle.
+BROADCAST_KEYS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def get_with_expire_at(log: DataFrame, key: str, now: int) -> DataFrame:
@@ -19,26 +19,33 @@ def get(log: DataFrame, key: str, now: int) -> DataFrame:
     return get_with_expire_at(log, key, now).select("key", "value")
 
 
-def _wanted(log: DataFrame, keys: DataFrame, n_keys: int | None) -> DataFrame:
+def is_small(keys: DataFrame) -> bool:
+    """Whether a request list is within the bounds of a broadcast; counts no further than to the bound."""
+    n, size = keys.select("key").limit(BROADCAST_KEYS + 1).agg(F.count("*"), F.sum(F.octet_length("key"))).first()
+    return n <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES
+
+
+def wanted(log: DataFrame, keys: DataFrame) -> DataFrame:
     """The log rows of some keys; a small request list is broadcast, so that the log isn't shuffled."""
     asked = keys.select("key").distinct()
-    if n_keys is not None and n_keys <= BROADCAST_KEYS:
-        asked = F.broadcast(asked)
-    return log.join(asked, "key", "left_semi")
+    return log.join(F.broadcast(asked) if is_small(keys) else asked, "key", "left_semi")
 
 
-def batch_get(log: DataFrame, requests: DataFrame, now: int, ordered: bool = True, n_keys: int | None = None) -> DataFrame:
-    """Found keys of (pos, key): with positions and duplicates, or each once. Missing keys are left out.
+def _resolved(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The newest rows of some keys. Of a long list, versions are combined before the shuffle that the join then uses as well."""
+    asked = keys.select("key").distinct()
+    return newest(log.join(F.broadcast(asked), "key", "left_semi")) if is_small(keys) else newest(log).join(asked, "key", "left_semi")
+
 
-    ``n_keys`` is the number of requests if the caller knows it.
-    """
-    found = newest(_wanted(log, requests, n_keys)).where(is_live(now)).select("key", "value")
+def batch_get(log: DataFrame, requests: DataFrame, now: int, ordered: bool = True) -> DataFrame:
+    """Found keys of (pos, key): with positions and duplicates, or each once. Missing keys are left out."""
+    found = _resolved(log, requests).where(is_live(now)).select("key", "value")
     return requests.join(found, "key").select("pos", "key", "value") if ordered else found
 
 
-def get_expire_at(log: DataFrame, requests: DataFrame, now: int, n_keys: int | None = None) -> DataFrame:
+def get_expire_at(log: DataFrame, requests: DataFrame, now: int) -> DataFrame:
     """(pos, key, exists, expire_at) for every request; (false, 0) if missing, expired or deleted."""
-    found = newest(_wanted(log, requests, n_keys)).where(is_live(now)).select("key", "expire_at", F.lit(True).alias("found"))
+    found = _resolved(log, requests).where(is_live(now)).select("key", "expire_at", F.lit(True).alias("found"))
     joined = requests.join(found, "key", "left")
     return joined.select("pos", "key", F.coalesce("found", F.lit(False)).alias("exists"), F.coalesce("expire_at", F.lit(0)).cast("bigint").alias("expire_at"))
 

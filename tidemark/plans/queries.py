@@ -32,15 +32,15 @@ def kv_get_with_expire_at(s: SparkSession, d: str) -> DataFrame:
 
 def kv_get_expire_at(s: SparkSession, d: str) -> DataFrame:
     asked = requests(s)
-    return reads.get_expire_at(log_now(s, d), asked, NOW, n_keys=20)
+    return reads.get_expire_at(log_now(s, d), asked, NOW)
 
 
 def kv_batch_get_ordered(s: SparkSession, d: str) -> DataFrame:
-    return reads.batch_get(log_now(s, d), requests(s), NOW, n_keys=20)
+    return reads.batch_get(log_now(s, d), requests(s), NOW)
 
 
 def kv_batch_get_dedup(s: SparkSession, d: str) -> DataFrame:
-    return reads.batch_get(log_now(s, d), requests(s), NOW, ordered=False, n_keys=20)
+    return reads.batch_get(log_now(s, d), requests(s), NOW, ordered=False)
 
 
 def kv_batch_get_bulk(s: SparkSession, d: str) -> DataFrame:
@@ -201,13 +201,7 @@ def kv_scalars(s: SparkSession, d: str) -> DataFrame:
 
 def kv_index_prefixes(s: SparkSession, d: str) -> DataFrame:
     """How much of a key the one before it shares, as a sorted key column stores it, in runs of 16."""
-    from pyspark.sql.window import Window
-
-    keys = reads.scan_prefix_keys(log_now(s, d), "user:0001").select("key")
-    order = Window.partitionBy(F.substring("key", 1, 9)).orderBy("key")
-    placed = keys.withColumn("rn", F.row_number().over(order)).withColumn("before", F.lag("key").over(order))
-    shared = F.when((F.col("rn") - 1) % 16 == 0, F.lit(0)).otherwise(scalars.common_prefix_length("key", "before"))
-    return placed.select("key", shared.cast("int").alias("shared"))
+    return maintenance.index_prefixes(visibility.snapshot(log_now(s, d)).select("key"))
 
 
 def kv_documents(s: SparkSession, d: str) -> DataFrame:
@@ -221,36 +215,3 @@ def kv_orders(s: SparkSession, d: str) -> DataFrame:
     orders = s.read.parquet(f"{d}/orders.parquet")
     log = orders.select(F.col("o_orderkey").cast("bigint").alias("seq"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("key"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("value"), F.lit(0).cast("bigint").alias("expire_at"))
     return visibility.snapshot(log).groupBy(F.coalesce("value", F.lit("-")).alias("state")).agg(F.count("*").alias("n"), F.sum("seq").cast("bigint").alias("seqs"))
-
-
-def kv_store_live(s: SparkSession, d: str) -> DataFrame:
-    """The live rows after a store took the log in five batches, flushing each and compacting on the way."""
-    from tidemark.store import KVStore, scratch
-
-    log = log_now(s, d)
-    store = KVStore(s, scratch(s, "store"))
-    last = log.agg(F.max("seq")).first()[0] or 0
-    for part in range(5):
-        store.ingest(log.where(F.col("seq").between(last * part // 5 + (part > 0), last * (part + 1) // 5)), NOW)
-        store.flush()
-        store.maybe_compact(NOW)
-    return store.live(NOW)
-
-
-def kv_stream_apply(s: SparkSession, d: str) -> DataFrame:
-    """The live rows of a follower that bootstrapped from a leader's segments and streamed the rest of its log."""
-    from tidemark.store import KVStore, scratch
-    from tidemark.streaming.replicate import Follower
-
-    log = log_now(s, d)
-    leader = KVStore(s, scratch(s, "leader"))
-    leader.ingest(log.where("seq < 4000"), NOW)
-    leader.flush()
-    follower = Follower(s, leader.path, scratch(s, "follower"))
-    follower.bootstrap()
-    leader.ingest(log.where("seq >= 4000 AND seq < 7000"), NOW)
-    follower.catch_up()
-    leader.ingest(log.where("seq >= 7000"), NOW)
-    follower.catch_up()
-    return follower.live(NOW)
-

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
+HOLD = "hold-"
+HOLD_SECONDS = 3600
+
 
 class Folder:
     """A directory reached through Hadoop's file system classes, so it may be local, HDFS or an object store."""
@@ -46,6 +54,27 @@ class Folder:
         finally:
             stream.close()
 
+    @contextmanager
+    def held(self, seconds: int = HOLD_SECONDS) -> Iterator[None]:
+        """While this is open, and for at most some seconds, ``gc`` deletes nothing here: for readers that take long."""
+        name = f"{HOLD}{uuid.uuid4().hex}"
+        self.replace(name, str(int(time.time()) + seconds))
+        try:
+            yield
+        finally:
+            self.delete(name)
+
+    def holds(self, now: int) -> int:
+        """How many holds are open; those that outlived their time are deleted."""
+        left = 0
+        for name in self.names():
+            if name.startswith(HOLD) and self.exists(name):
+                if int(self.read(name)) > now:
+                    left += 1
+                else:
+                    self.delete(name)
+        return left
+
     def replace(self, name: str, text: str) -> None:
         """Write a file whole or not at all: a new file is renamed over the old one."""
         fresh = f".{name}.new"

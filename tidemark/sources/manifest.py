@@ -53,6 +53,16 @@ class LogPart:
     mtime: int
     entry_bytes: int = 0  # as accounted in memory
     flushed: bool = False
+    rows: int = 0
+
+    @property
+    def number(self) -> int:
+        return number(self.name)
+
+
+def number(name: str) -> int:
+    """The running number in the name of a folder, as in ``log-000000012-5f0c``."""
+    return int(name.split("-")[1])
 
 
 @dataclass(frozen=True)
@@ -63,8 +73,16 @@ class Manifest:
     gc_seq: int = -1  # compaction may have dropped deletions up to here, so nothing as old may come in any more
     segments: tuple[Segment, ...] = ()
     parts: tuple[LogPart, ...] = ()
+    retired: int = 0  # the largest number of a log part that retention took away
+    dropped: tuple[tuple[str, int], ...] = ()  # folders that were named once, and since when they aren't
+    cursor: int = 0  # of a follower: how often it began anew
+    followed: int = 0  # of a follower: all of the leader's log parts up to this number are applied
     version: int = field(default=VERSION)
 
+    def names(self) -> set[str]:
+        """The folders that make up the store."""
+        return {s.filename.split("/")[0] for s in self.segments} | {p.name for p in self.parts}
+
     def level(self, n: int) -> tuple[Segment, ...]:
         return tuple(s for s in self.segments if s.level == n)
 
@@ -74,6 +92,18 @@ class Manifest:
     def without(self, gone: set[str]) -> Manifest:
         return replace(self, segments=tuple(s for s in self.segments if s.filename not in gone))
 
+    def open_parts(self) -> tuple[LogPart, ...]:
+        return tuple(p for p in self.parts if not p.flushed)
+
+    def older_elsewhere(self, sources: tuple[Segment, ...], seq: int) -> bool:
+        """Whether entries below ``seq`` of keys in the range of the sources may lie outside them, on any level or in open log."""
+        outside = (s for s in self.segments if s not in sources and s.min_seq < seq)
+        return any(s.overlaps(x) for s in outside for x in sources) or any(p.min_seq < seq for p in self.open_parts())
+
+    def forgettable(self, s: Segment, now: int) -> bool:
+        """Every row of the segment has expired and hides no older one, so reads at ``now`` and merges may leave it out."""
+        return s.all_expired(now) and not self.older_elsewhere((s,), s.max_seq)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(asdict(s).values()) for s in self.segments], MANIFEST)
 
@@ -85,7 +115,8 @@ class Manifest:
         raw = json.loads(text)
         if raw.get("version") != VERSION:
             raise ValueError(f"unknown manifest version {raw.get('version')!r}")
-        return cls(**{**raw, "segments": tuple(Segment(**s) for s in raw["segments"]), "parts": tuple(LogPart(**p) for p in raw["parts"])})
+        parts = {"segments": tuple(Segment(**s) for s in raw["segments"]), "parts": tuple(LogPart(**p) for p in raw["parts"])}
+        return cls(**{**raw, **parts, "dropped": tuple((n, at) for n, at in raw.get("dropped", ()))})
 
 
 def load(folder: Folder) -> Manifest:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -33,3 +36,24 @@ def random_cas(spark: SparkSession, n: int, space: int = 100, base_seq: int = 1,
     fresh = F.col("id") < n // 2
     expected = F.when(fresh, F.lit(None).cast("string")).otherwise(F.concat(F.lit("v"), F.pmod(F.xxhash64("id", F.lit(seed), F.lit("expected")), F.lit(10)).cast("string")))
     return spark.range(n).select((F.col("id") + base_seq).alias("seq"), _key(space, seed).alias("key"), expected.alias("expected"), F.concat(F.lit("v"), (F.col("id") % 10).cast("string")).alias("new_value"), F.lit(0).cast("bigint").alias("expire_at"))
+
+
+def timed(work: Callable[[], int], total: int) -> dict[str, float]:
+    """A report on one bulk call that returns how many of ``total`` items it served."""
+    began = time.perf_counter()
+    succeeded = int(work())
+    elapsed = time.perf_counter() - began
+    return {"total": total, "succeeded": succeeded, "elapsed_s": elapsed, "per_second": total / elapsed}
+
+
+def each(items: DataFrame, call: Callable[[Row], bool]) -> dict[str, float]:
+    """A report on one call per item, in order: how many succeeded, and the times of the calls. Items come one at a time."""
+    began, times, succeeded = time.perf_counter(), [], 0
+    for row in items.orderBy("pos").toLocalIterator():
+        at = time.perf_counter()
+        succeeded += bool(call(row))
+        times.append(time.perf_counter() - at)
+    elapsed, n = time.perf_counter() - began, len(times)
+    ranked = sorted(times)
+    spread = {f"p{q}_s": ranked[min(n - 1, n * q // 100)] for q in (50, 90, 99)} if n else {}
+    return {"total": n, "succeeded": succeeded, "elapsed_s": elapsed, "per_second": n / elapsed, "mean_s": sum(times) / n if n else 0.0, **spread}
