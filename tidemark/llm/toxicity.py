@@ -1,18 +1,21 @@
 """Toxicity by two class-conditional Kneser-Ney models over one shared backoff.
 
-Each class model reads a document's words byte by byte, up to ``ORDER`` bytes back. A word counts in a class by the number
-of different words it was seen behind (so that copies of a document add nothing), shorter contexts count by
+Each class model spells a document's words byte by byte, up to ``ORDER`` bytes back. A word counts in a class by the number
+of different texts that have it (so that neither copies nor a text's own repeats add anything), shorter contexts count by
 continuations, and every count is discounted by one, so that what was seen once is left to the shorter context. From
-``SHARED`` bytes down both classes back off to the same counts, taken from the words of all documents. The difference of a
-word's log-likelihoods under the two models is its evidence.
+``SHARED`` bytes down both classes back off to the same counts: of how many different words of all documents each run of
+bytes is a part. The difference of a word's log-likelihoods under the two models is its log-likelihood ratio.
 
-A document's evidence is normalised by its length in distinct words: the mean difference, the mean of what exceeds
-``MILD``, and the share of words above ``HOT``, beside its three strongest words. A logistic curve with no
-negative weight, fitted on evidence from models that hadn't counted the document, turns it into a score.
+Not every word of a toxic text is toxic: the toxic class spells a share ``SHARE`` of its words by the toxic model and the others
+like the ordinary class, so a word adds log(1 - SHARE + SHARE * ratio). A document's log-likelihood ratio is the sum over its
+different expressions (a word behind another), and is normalised by its length, their number: once per expression and
+once per the root of the number, which is how chance sums grow. A logistic curve over the two, with no negative weight and classes
+of equal weight, fitted on ratios from models that hadn't counted the document, turns them into a score.
 
-What is fitted: at most ``SAMPLE_ROWS`` labelled rows of each class and ``SAMPLE_CHARS`` characters in all, taken by hash
-order; this bounds the tables, and so the broadcast. What is counted: the shared counts come from every document. What is
-scored: every document, whole.
+What is fitted: at most ``SAMPLE_ROWS`` labelled rows and ``SAMPLE_CHARS`` characters of each class, the first by hash (at
+least one row). What is counted: the shared counts come from the distinct words of every document, in tables that grow with
+the corpus, are cut by checkpoints, and are joined with what the fitted rows need; runs of bytes that neither class has
+counted are spelled alike by both models and cancel out. What is scored: every document, whole.
 
 Defined cases: a text without a word has no evidence and a score at most half the threshold; without labels of both
 classes every score is 0; a null label is no label, and the larger of several labels of one id counts; rows of a null
@@ -33,17 +36,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import claim, documents, ship, slices, table, trim, without
+from tidemark.llm.common import claim, cut, documents, ship, slices, table, trim, without
 
-SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 10_000_000
-ORDER, SHARED = 8, 3
-HOT, MILD = 3.0, 1.5
+SAMPLE_ROWS = 2500
+SAMPLE_CHARS = 8_000_000
+ORDER, SHARED = 8, 5
+SHARE = 0.01
+LEAST, MOST = -5.0, 8.0  # bounds of a word's log-likelihood ratio
+PER_WORDS = 20
 THRESHOLD = 0.7
-BATCH_CHARS = 4_000_000
-CACHE_WORDS = 300_000
+BATCH_CHARS = 2_000_000
+CACHE_WORDS = 200_000
 WORDS_AT_ONCE = 50_000
-PARTS, MEASURES = 3, 6
+WORDS_SENT = 200_000
+PARTS, MEASURES = 3, 2
 _BYTE = np.uint64(8)
 _MASK = [np.uint64((1 << (8 * n)) - 1) for n in range(9)]
 # Letters of A-Z are lower-cased; other ASCII characters that aren't letters or digits part words.
@@ -79,6 +85,11 @@ class Model:
     curve: np.ndarray  # weights of the measures, and the constant
 
 
+def chance(n, total):
+    """The shared probability of a byte that ``n`` words have behind a context which ``total`` have."""
+    return (n + 0.5) / (total + 128)
+
+
 def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each word and its end: the last ORDER bytes as a number, and the word's index."""
     if not words:
@@ -97,7 +108,7 @@ def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train(by_class: list[tuple[list[bytes], np.ndarray]], shared: tuple[np.ndarray, np.ndarray]) -> list[Order]:
-    """The orders from (words, weights) of each class and the (trigram, count) table of all documents."""
+    """The orders from (words, weights) of each class and the (grams, chances) of the shared order, ascending."""
     counts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
     for words, weights in by_class:
         grams, times = np.zeros(0, np.uint64), np.zeros(0)
@@ -112,15 +123,13 @@ def _train(by_class: list[tuple[list[bytes], np.ndarray]], shared: tuple[np.ndar
             grams, kinds = np.unique(own[n + 1][0] & _MASK[n], return_counts=True)
             own[n] = (grams, kinds.astype(np.float64))
         counts.append(own)
-    s_gram, s_count = shared
-    _, at = np.unique(s_gram >> _BYTE, return_inverse=True)
-    s_share = (s_count + 0.5) / (np.bincount(at, weights=s_count)[at] + 128)
+    s_gram, s_share = shared
 
     def base(grams: np.ndarray) -> np.ndarray:
         if not len(s_gram):
             return np.full(len(grams), 1 / 256)
         slot = np.minimum(np.searchsorted(s_gram, grams), len(s_gram) - 1)
-        return np.where(s_gram[slot] == grams, s_share[slot], 0.5 / 1024)
+        return np.where(s_gram[slot] == grams, s_share[slot], chance(0, 0))
 
     orders: list[Order] = []
     below: tuple[np.ndarray, list[np.ndarray]] | None = None
@@ -165,33 +174,25 @@ def word_gains(words: list[bytes], orders: list[Order]) -> np.ndarray:
 
 
 def evidence(texts: list[str], orders: list[Order], cache: dict[bytes, float] | None = None) -> np.ndarray:
-    """The measures of each text, over its distinct words; all 0 for a text without a word."""
+    """The two length-normalised log-likelihood ratios of each text; 0 for a text without a word."""
     at, names, edges = words_of(texts)
     cache = {} if cache is None else cache
     if len(cache) > CACHE_WORDS:
         cache.clear()
     new = [w for w in names if w not in cache]
-    cache.update(zip(new, word_gains(new, orders).tolist(), strict=True))
-    gains = np.fromiter((cache[w] for w in names), np.float64, len(names))
-    pair = np.unique(np.repeat(np.arange(len(texts)), np.diff(edges)) * np.int64(len(names) + 1) + at)
-    owner, gain = pair // (len(names) + 1), gains[pair % (len(names) + 1)]
-    n = np.bincount(owner, minlength=len(texts))
-    most = np.maximum(n, 1)
-
-    def mean(x: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=x, minlength=len(texts)) / most
-
-    order = np.lexsort((-gain, owner))
-    ranked, first = gain[order], np.cumsum(n) - n
-
-    def strongest(k: int, most: float = 6) -> np.ndarray:
-        return np.where(n > k, np.clip(ranked[np.minimum(first + k, max(len(ranked) - 1, 0))], 0, most), 0) if len(ranked) else np.zeros(len(texts))
-
-    # The shares are capped where more says nothing new, and scaled to the size of the others.
-    return np.column_stack([
-        np.clip(mean(gain), -2, 2), 100 * np.clip(mean(np.clip(gain - MILD, 0, 5)), 0, 0.15),
-        100 * np.clip(mean(gain > HOT), 0, 0.05), strongest(0, 20), strongest(1), strongest(2),
-    ])
+    if new:
+        cache.update(zip(new, word_gains(new, orders).tolist(), strict=True))
+    ratio = np.exp(np.clip(np.fromiter((cache[w] for w in names), np.float64, len(names)), LEAST, MOST))
+    adds = np.log(1 - SHARE + SHARE * ratio)
+    before = np.empty(len(at), np.int64)
+    before[1:] = at[:-1]
+    before[edges[:-1][edges[:-1] < edges[1:]]] = len(names)  # a text's first word
+    kinds = len(names) + 1
+    expressions = np.unique((np.repeat(np.arange(len(texts)), np.diff(edges)) * kinds + before) * kinds + at)
+    owner, word = expressions // kinds**2, expressions % kinds
+    total = np.bincount(owner, weights=adds[word], minlength=len(texts))
+    n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+    return np.column_stack([PER_WORDS * total / n, total / np.sqrt(n)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,10 +211,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
+    weight = np.where(y == 1, 1.0, y.sum() / max(1.0, len(y) - y.sum()))  # classes weigh alike
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = (a * (weight * p * (1 - p) + 1e-6)[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -236,50 +238,87 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(turn.alias("turn"), "text", "toxic")
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: set[bytes] = set()
+
+    def out() -> pa.RecordBatch:
+        row = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary())], names=["word"])
+        held.clear()
+        return row
+
+    for batch in batches:
+        for _, texts in slices(batch.column(0), batch.column(0), BATCH_CHARS):
+            held.update(words_of(texts)[1])
+            if len(held) > WORDS_SENT:
+                yield out()
+    held.discard(b"")
+    yield out()
+    trim()
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(word): the distinct words of all documents; tasks send each of theirs once."""
+    ship(docs.sparkSession)
+    return documents(docs).select("text").mapInArrow(_words, "word binary").where(F.octet_length("word") > 0).distinct()
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, _ = positions(batch.column(0).to_pylist())
+        grams, n = np.unique(key & _MASK[SHARED], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+
+def shared_counts(words: DataFrame) -> DataFrame:
+    """(gram, n): of how many places in the distinct words each run of SHARED bytes is the end. It grows with the vocabulary."""
+    return cut(words.mapInArrow(_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in slices(batch.column(0), batch.column(0), BATCH_CHARS):
-            at, names, _ = words_of(texts)
-            times = np.bincount(at, minlength=len(names))
-            key, owner = positions(names)
-            grams = np.concatenate([held[0], key & _MASK[SHARED]])
-            counts = np.concatenate([held[1], times[owner]])
-            grams, slot = np.unique(grams, return_inverse=True)
-            held = (grams, np.bincount(slot, weights=counts).astype(np.int64))
-    some = held[1] > 0
-    yield pa.RecordBatch.from_arrays([pa.array(held[0][some].astype(np.int64)), pa.array(held[1][some])], names=["gram", "n"])
-
-
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of each byte trigram in the words of all documents; at most 2^24 rows, whatever the corpus."""
-    counts = documents(docs).select("text").mapInArrow(_trigrams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    grams, n = found.column("gram").to_numpy().astype(np.uint64), found.column("n").to_numpy().astype(np.float64)
+            key, _ = positions([w for w in words_of(texts)[1] if w])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key & _MASK[SHARED]).astype(np.int64))], names=["gram"])
+
+
+def shared_chances(counts: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, chances) of the shared order, for the grams of the chosen rows: the join leaves at most one row per byte of the
+    bounded sample, which is what the driver gets."""
+    context = F.shiftright("gram", 8).alias("context")
+    totals = counts.groupBy(context).agg(F.sum("n").alias("total"))
+    needed = chosen.select("text").mapInArrow(_needed, "gram bigint").distinct()
+    found = counts.join(needed, "gram", "left_semi").withColumn("context", context).join(totals, "context").select("gram", "n", "total").toArrow()
+    grams = found.column("gram").to_numpy().astype(np.uint64)
     order = np.argsort(grams)
-    return grams[order], n[order]
+    n, total = (found.column(c).to_numpy().astype(np.float64)[order] for c in ("n", "total"))
+    return grams[order], chance(n, total)
 
 
 def class_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words of the distinct texts, each with the number of different words it stands behind."""
+    """Distinct words of the distinct texts, each with the number of texts that have it."""
     at, names, edges = words_of(list(dict.fromkeys(texts)))
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[edges[:-1][edges[:-1] < edges[1:]]] = len(names)  # a text's first word
-    pair = np.unique(before.astype(np.int64) * (len(names) + 1) + at)
-    times = np.bincount(pair % (len(names) + 1), minlength=len(names))[: len(names)]
+    kinds = len(names) + 1
+    pair = np.unique(np.repeat(np.arange(len(edges) - 1), np.diff(edges)) * np.int64(kinds) + at)
+    times = np.bincount(pair % kinds, minlength=len(names))[: len(names)]
     used = np.flatnonzero(times)
     return [names[i] for i in used], times[used].astype(np.float64)
 
 
+def within(rows: list[tuple[str, int]], chars: int) -> list[tuple[str, int]]:
+    """The first rows of each class up to the one that would make more than ``chars`` characters; one at least."""
+    out, held, full = [], {}, set()
+    for text, label in rows:
+        if label in held and held[label] + len(text) > chars:
+            full.add(label)
+        if label not in full:
+            out.append((text, label))
+            held[label] = held.get(label, 0) + len(text)
+    return out
+
+
 def _trained(shared, chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = [], 0
-        for batch in batches:
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held + len(text) <= chars:
-                    known.append((text, label))
-                    held += len(text)
+        known = within([r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], chars)
         model = train(known, shared.value)
         trim()
         if model is not None:
@@ -289,16 +328,19 @@ def _trained(shared, chars: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """None if a class has no example. The bounded sample is one task's; the driver sees the model only."""
+    """None if a class has no example. The bounded sample is one task's; the driver sees the model and the sample's chances."""
     spark = ship(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(shared_counts(docs))
-    chosen = sample(docs, labels, rows).coalesce(1).sortWithinPartitions("turn", "text")
-    found = chosen.mapInArrow(_trained(shared, chars), "model binary").collect()
+    chosen = cut(sample(docs, labels, rows))
+    if chosen.select("toxic").distinct().count() < 2:
+        return None
+    chances = shared_chances(shared_counts(cut(vocabulary(docs))), chosen)
+    shared = spark.sparkContext.broadcast(chances)
+    found = chosen.coalesce(1).sortWithinPartitions("turn", "text").mapInArrow(_trained(shared, chars), "model binary").collect()
     return pickle.loads(found[0].model) if found else None
 
 
 def train(known: list[tuple[str, int]], counts: tuple[np.ndarray, np.ndarray]) -> Model | None:
-    """The model of labelled texts; ``counts`` are the trigrams of all documents. Each part's evidence for the curve comes
+    """The model of labelled texts; ``counts`` are the shared (grams, chances). Each part's evidence for the curve comes
     from models that were counted on the other parts."""
     both = lambda rows: {y for _, y in rows} == {0, 1}
     if not both(known):
