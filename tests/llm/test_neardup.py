@@ -50,7 +50,7 @@ def made():
 
 @pytest.mark.parametrize("chunk", [512, 2])
 def test_stage_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(neardup, "LEAST_CHUNK", chunk)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
     rows = made()
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
@@ -73,3 +73,60 @@ def test_rows_without_an_id(spark):
     kept = neardup.keep_one(docs)
     assert kept.where(F.col("doc_id").isNull()).count() == 2
     assert {r.doc_id for r in kept.where(F.col("doc_id").isNotNull()).collect()} == {5, 7}
+
+
+def test_fingerprints_of_sets():
+    from tidemark.llm.simhash import BITS
+
+    hashes = neardup.shingles(" ".join(f"w{i}" for i in range(300)))
+    codes = neardup.fingerprints(hashes, 3)
+    assert len(set(codes.tolist())) == 3
+    salt = 2 * 0x9E3779B97F4A7C15 % 2**64
+    counts = [0] * BITS
+    for h in hashes.tolist():
+        x = h ^ salt
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * by % 2**64
+        for b in range(BITS):
+            counts[b] += x >> b & 1
+    assert int(codes.view("<u8")[1]) == sum(1 << b for b in range(BITS) if 2 * counts[b] > len(hashes))
+
+
+def test_share_of_missed_pairs_is_what_the_plan_says():
+    """Pairs at the threshold itself: the measured share that no band of any fingerprint finds."""
+    import numpy as np
+
+    rng, how = np.random.default_rng(5), neardup.plan(10**5)
+    missed = 0
+    for _ in range(400):
+        common = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (neardup.fingerprints(np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])), how.tables).view("<u8") for _ in range(2))
+        x = a ^ b
+        near = (np.bitwise_count(x) <= neardup.DISTANCE) & (np.bitwise_count(np.roll(x, -1)) <= neardup.CHECK)
+        band = np.array([[(v >> np.uint64(k * how.width)) & np.uint64((1 << how.width) - 1) == 0 for k in range(how.bands)] for v in x]).any(axis=1)
+        missed += not (near & band).any()
+    assert missed <= 6  # 2 expected
+    assert [neardup.plan(n).width for n in (10, 10**6, 10**8, 10**10)] == [12, 12, 18, 24]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """All near one another in every bucket: the members' tests, not all pairs, and one stays."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{i}"
+        rows.append((10_000 - i, " ".join(copy)))
+    rows += [(20_000 + i, " ".join(f"y{rng.randrange(5000)}" for _ in range(50))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == {8501, *range(20_000, 20_100)}
+
+
+def test_beyond_the_bound_ids_are_joined_by_shuffle(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    rows = made()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == brute(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("a cluster must name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -89,6 +92,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def _by_ids(df: DataFrame, ids: DataFrame, name: str, how: str) -> DataFrame:
+    """A join of wide rows with a list of distinct bigints: a list of up to BROADCAST_IDS goes to the rows, and only beyond that
+    are rows moved."""
+    ids = cut(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, name, how)
+
+
+def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose ``name`` is in the list."""
+    return _by_ids(df, ids, name, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose ``name`` isn't in the list."""
+    return _by_ids(df, ids, name, "left_anti")
+
+
 _CLAIMED: dict[str, dict] = {}
 
 

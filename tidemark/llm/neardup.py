@@ -1,20 +1,28 @@
-"""Near-duplicate documents by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near duplicates by word shingles, over the Gray-order index of ``simhash``, one document of each group kept.
 
 Two texts are linked if their sets of five-word shingles (as XXH64 values) have a Jaccard similarity of ``SIMILARITY`` or
-more. Candidates are texts that agree in all ``ROWS`` MinHash values of one of ``BANDS`` bands: at a similarity of 0.8 a pair
-is missed with a probability of (1 - 0.8 ** 5) ** 24, under one in 10,000, and more similar ones far less. Every link is
-confirmed on the whole sets. Buckets with the same members are one; in a bucket, a search from text to text tests a text
-against those not reached yet, so a group of near copies takes a test per member, and only a spanning tree goes out.
+more. One fingerprint of 64 bits can't find such pairs: at 0.8 they differ in ten bits in the mean. So a text gets several
+fingerprints of its shingle set, independent of one another, and every band of each is a bucket of the index. In a bucket
+texts are candidates if that fingerprint differs in at most ``DISTANCE`` bits and the next one in ``CHECK``. Candidate pairs
+are kept as connected groups; in each group the links are confirmed on the whole shingle sets, by a search that tests a text
+against those not reached yet, so that a group of near copies takes a test per member, and only a spanning tree goes out.
 
-Exact copies are one text from the start. Buckets above a bound are split into chunks, and each pair of chunks is a task.
+The number of fingerprints follows from the similarity: at the threshold itself a pair is missed with a probability of
+``MISS``, by the formula for large sets, and more similar ones far less (``plan``). Bands get wider with the logarithm of the
+number of texts, so that buckets stay of one size, and more fingerprints then keep the probability.
+
+Exact copies are one text from the start. Buckets and groups above a bound are split into chunks, and each pair of chunks is a
+task. Texts stay where they are: what is joined with them is a list of ids, broadcast up to ``BROADCAST_IDS``.
 
 Defined cases are those of ``simhash``: a null text is an empty one, texts without a word are alike, a text of fewer than
-five words is one shingle.
+five words is one shingle; rows of one doc_id are one document; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -23,20 +31,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, fresh, ship, shuffle_partitions
+from tidemark.llm.common import cut, documents, fresh, ship, with_ids, without_ids
 from tidemark.llm.components import stars
+from tidemark.llm.simhash import BITS, smallest, stars_in_buckets
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 5
+MISS = 0.005
+DISTANCE, CHECK = 12, 18
+BUCKET = 1024
+LEAST_BAND = 12
 SEED = 42
-LEAST_CHUNK = 512
-AT_ONCE = 2048
-_NAMELESS = 1 << 62  # from here on, ids stand for texts of rows without a doc_id
-_RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
-_ODD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None] | np.uint32(1)
+CHUNK = 512
+_BIT = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Bits of a band, bands of a fingerprint, and fingerprints."""
+
+    width: int
+    bands: int
+    tables: int
+
+
+def _tail(n: int, p: float, most: int) -> float:
+    """P(at most ``most`` of n bits differ)."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1))
+
+
+def plan(n: int) -> Plan:
+    """For n texts. Sets of one size with similarity s share 2s / (1 + s) of it, which is the cosine of their sums; a bit differs
+    with the probability of the angle over pi."""
+    width = max(LEAST_BAND, math.ceil(math.log2(max(1, n) / BUCKET)) if n > BUCKET else 0)
+    width = min(32, width + width % 2)
+    differ = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    hit = (1 - differ) ** width * _tail(BITS - width, differ, DISTANCE) * _tail(BITS, differ, CHECK)
+    routes = math.log(MISS) / math.log(1 - hit)
+    bands = BITS // width
+    return Plan(width, bands, max(2, math.ceil(routes / bands)))
 
 
 def shingles(text: str) -> np.ndarray:
@@ -51,19 +85,30 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=True)), np.uint64, n))
 
 
-def band_values(hashes: np.ndarray) -> list[int]:
-    """One signed number per band, of its place and its MinHash values."""
-    high = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(high), AT_ONCE):
-        np.minimum(least, ((high[None, i : i + AT_ONCE] ^ _XOR) * _ODD).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+def fingerprints(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """``tables`` SimHashes of a set of hashes, each of its own mixture of them, as signed numbers."""
+    salts = (np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    place = (np.arange(8 * tables) << 8).reshape(tables, 1, 8)
+    counts = np.zeros(8 * tables * 256, np.int64)
+    for i in range(0, len(hashes), 8192):
+        x = hashes[None, i : i + 8192] ^ salts
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        x ^= x >> np.uint64(31)
+        counts += np.bincount((x.view(np.uint8).reshape(tables, -1, 8) + place).ravel(), minlength=len(counts))
+    bits = counts.reshape(-1, 256).astype(np.float32) @ _BIT  # whole numbers, exact below 2^24
+    return np.packbits(2 * bits.ravel() > len(hashes), bitorder="little").view("<i8")
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [band_values(shingles(t)) for t in batch.column(2).to_numpy(zero_copy_only=False).tolist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+def _sketch(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprints(shingles(t), tables) for t in batch.column(2).to_numpy(zero_copy_only=False).tolist()]
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * tables), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["doc_id", "fp", "codes"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,46 +146,61 @@ def spanning(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tup
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) between the ids ``rep`` of each bucket; the rows come sorted by bucket."""
-    now, reps, sets = None, [], []
+    """Edges (a, b) between the texts of each bucket; the rows come sorted by bucket."""
+    now, nodes, sets = None, [], []
 
     def found() -> pa.RecordBatch:
-        pairs = [(reps[i], reps[j]) for i, j in spanning(sets)]
+        pairs = [(nodes[i], nodes[j]) for i, j in spanning(sets)]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for bucket, rep, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for bucket, node, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if bucket != now:
-                if len(reps) > 1:
+                if len(nodes) > 1:
                     yield found()
-                now, reps, sets = bucket, [], []
-            reps.append(rep)
+                now, nodes, sets = bucket, [], []
+            nodes.append(node)
             sets.append(np.frombuffer(hashes, np.uint64))
-    if len(reps) > 1:
+    if len(nodes) > 1:
         yield found()
 
 
-def _rep(doc_id: str = "doc_id"):
-    return F.coalesce(doc_id, F.lit(_NAMELESS) + F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1)))
-
-
-def similar_edges(codes: DataFrame, coded: DataFrame) -> DataFrame:
-    """Edges (a, b) between the ids ``rep`` of distinct texts (fp, rep, bands) that keep all links connected."""
-    spark = ship(codes.sparkSession)
-    routed = codes.select("fp", "rep", F.explode("bands").alias("bucket"))
-    sizes = routed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(fp)").alias("x")).where("n > 1")
-    most = max(LEAST_CHUNK, codes.count() // (2 * shuffle_partitions(spark)))
-    chosen = sizes.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("chunks"))
-    held = routed.join(chosen, "bucket")
-    own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("fp"), F.col("chunks"))).otherwise(0).cast("int")
-    # A row of chunk i goes to the pairs (i, j) of all j; a pair's bucket holds two chunks.
-    spread = held.select("fp", "rep", "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    spread = cut(spread.select("fp", "rep", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")))
-    needed = spread.select("fp", "rep").distinct()
-    texts = coded.withColumn("rep", _rep()).join(needed, ["rep", "fp"], "left_semi").dropDuplicates(["rep", "fp"])
-    sets = texts.select("fp", "text").mapInArrow(_sets, "fp bigint, hashes binary")
-    members = spread.join(sets, "fp").select("bucket", "rep", "hashes")
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a bigint, b bigint")
+def candidates(codes: DataFrame, n: int, how: Plan) -> DataFrame:
+    """Edges (a, b) between texts (fp, codes) that connect all candidate pairs."""
+    entry = lambda t, b: F.struct(
+        F.col("codes")[t].alias("code"), F.col("codes")[(t + 1) % how.tables].alias("check"),
+        F.xxhash64(F.lit(t * how.bands + b), F.shiftrightunsigned(F.col("codes")[t], b * how.width).bitwiseAND(F.lit((1 << how.width) - 1))).alias("bucket"),
+    )
+    routes = F.explode(F.array(*[entry(t, b) for t in range(how.tables) for b in range(how.bands)]))
+    routed = codes.select(F.col("fp").alias("node"), routes.alias("r")).select("node", "r.code", "r.check", "r.bucket")
+    return stars_in_buckets(routed, n * how.tables * how.bands, DISTANCE, CHECK)
+
+
+def similar_edges(edges: DataFrame, coded: DataFrame) -> DataFrame:
+    """Edges (a, b) that keep all links within groups of candidates connected; ``coded`` has the texts (fp, text)."""
+    placed = stars(edges)
+    members = placed.unionAll(placed.select(F.col("root").alias("node"), "root").distinct())
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(0).cast("int")
+    # A text of chunk i goes to the pairs (i, j) of all j; a pair's bucket holds two chunks.
+    spread = members.join(sizes, "root").select("node", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    spread = cut(spread.select(F.col("node").alias("fp"), F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")))
+    texts = with_ids(coded.select("fp", "text"), spread.select("fp").distinct(), "fp").dropDuplicates(["fp"])
+    sets = texts.mapInArrow(_sets, "fp bigint, hashes binary")
+    buckets = spread.join(sets, "fp").select("bucket", "fp", "hashes")
+    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a bigint, b bigint")
+
+
+def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every text: the smallest doc_id reachable, null if there is none."""
+    ship(docs.sparkSession)
+    coded = documents(docs).select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    n = docs.count()
+    how = plan(n)
+    own = cut(coded.mapInArrow(_sketch(how.tables), "doc_id bigint, fp bigint, codes array<bigint>"))
+    codes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("codes").alias("codes")))
+    confirmed = similar_edges(candidates(codes, n, how), coded)
+    return own.select("doc_id", "fp"), smallest(codes.select("fp", "least"), confirmed)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -148,15 +208,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id are one document. Of rows without a doc_id, one stays in each group that has no other.
     """
-    ship(docs.sparkSession)
-    coded = documents(docs).select("doc_id", F.xxhash64("text").alias("fp"), "text")
-    own = cut(coded.mapInArrow(_sketch, "doc_id bigint, fp bigint, bands array<bigint>"))
-    codes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).select("fp", _rep("least").alias("rep"), "bands"))
-    roots = stars(similar_edges(codes, coded))
-    found = cut(codes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("group")))
-    losers = own.join(found, "fp").where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(losers, "doc_id", "left_anti").select(docs.columns)
-    fp, group = fresh(docs, "fp", "group")
-    left = found.where(F.col("group") >= _NAMELESS).select(F.col("fp").alias(fp), F.col("group").alias(group))
+    own, found = components(docs)
+    found = cut(found)
+    losers = own.join(found.where(F.col("component_id").isNotNull()), "fp").where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    named = without_ids(docs.where(F.col("doc_id").isNotNull()), losers, "doc_id").select(docs.columns)
+    fp, root = fresh(docs, "fp", "root")
+    left = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root))
     nameless = docs.where(F.col("doc_id").isNull()).withColumn(fp, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(left, fp)
-    return named.unionByName(nameless.dropDuplicates([group]).select(docs.columns))
+    return named.unionByName(nameless.dropDuplicates([root]).select(docs.columns))

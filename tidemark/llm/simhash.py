@@ -1,25 +1,27 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints at most ``DISTANCE`` bits apart agree in at least one of ``DISTANCE + 1`` bands of bits. So each distinct
-fingerprint is sent to one bucket per band; a bucket is the top node of an index whose shared pattern is the band's value.
-In a bucket, fingerprints are sorted by Gray rank, by which neighbours differ in few bits. Runs of ``FAN_OUT`` form nodes,
-runs of nodes upper nodes; a node keeps the mask of the bits that all below it share, and their pattern. Pairs of nodes are
-descended together, all pairs of a level at once: where the shared bits of two nodes already differ in more than DISTANCE
-places, the whole groups are pruned. Of the links that remain, each task emits a spanning star per connected group, never
-all pairs; stars are joined by connected components.
-
-Exact copies are one fingerprint from the start. Buckets above a share of a task's rows are split into chunks, and each
-pair of chunks is a task of its own, so that no link is lost and no task grows with a hot bucket.
+Fingerprints at most ``DISTANCE`` bits apart agree in at least ``r`` of ``DISTANCE + r`` bands of bits. So each distinct
+fingerprint is sent to one bucket per choice of r bands; a bucket is the top node of an index whose shared pattern is the
+bands' value. More bands per choice make more and smaller buckets; r is the least for which the mean bucket has at most
+``BUCKET`` rows, and changes no result. In a bucket, fingerprints are sorted by Gray rank, by which neighbours differ in few
+bits. Runs of ``FAN_OUT`` form nodes, runs of nodes upper nodes; a node keeps the mask of the bits that all below it share,
+and their pattern. Neighbours are linked first. Then pairs of nodes are descended together, all pairs of a level at once:
+where the shared bits of two nodes already differ in more than DISTANCE places, or all below both is linked already, the
+whole groups are pruned. Of the links that remain, each task emits a spanning star per connected group, never all pairs;
+stars are joined by connected components.
+
+Exact copies are one fingerprint from the start. Buckets above a bound are split into chunks, and each pair of chunks is a
+task of its own, so that no link is lost and no task grows with a hot bucket or with the corpus.
 
 Defined cases: a null text is an empty one; texts without a word have fingerprint zero and link like any other; repeated rows
-are returned each; rows without a doc_id take part, but can't be a component's smallest id (null if there is no other); an
-empty table gives none.
+are returned each; rows without a doc_id take part, but can't be a component's smallest id (null if there is no other); every
+bigint is a doc_id like any other; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, documents, fresh, ship, shuffle_partitions, table
+from tidemark.llm.common import cut, documents, ship, shuffle_partitions, table
 from tidemark.llm.components import stars
 
 BITS = 64
@@ -38,8 +40,9 @@ SEED = 42
 FAN_OUT = 8
 LEVELS = 4
 PAIRS_AT_ONCE = 1 << 14
-LEAST_CHUNK = 1024
-_NAMELESS = 1 << 62  # from here on, ids stand for fingerprints of rows without a doc_id
+BUCKET = 4096
+LEAST_CHUNK, MOST_CHUNK = 1024, 8192
+ROWS_AT_ONCE = 100_000
 _BIT = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
@@ -81,12 +84,21 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """(shift, width) of distance + 1 bands that cover all bits."""
-    edges = [BITS * k // (distance + 1) for k in range(distance + 2)]
+def bands(distance: int = DISTANCE, agree: int = 1) -> list[tuple[int, int]]:
+    """(shift, width) of distance + agree bands that cover all bits."""
+    n = distance + agree
+    edges = [BITS * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def agreement(n: int, distance: int = DISTANCE) -> int:
+    """How many bands must agree for buckets of at most ``BUCKET`` of n even fingerprints."""
+    agree = 1
+    while n > BUCKET << sum(sorted(w for _, w in bands(distance, agree))[:agree]) and agree < distance:
+        agree += 1
+    return agree
+
+
 class _Forest:
     """Union by least index, for whole arrays of links at a time."""
 
@@ -107,33 +119,37 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _nodes(bucket: np.ndarray, codes: np.ndarray):
-    """Levels of (first child, end, bucket, shared mask, shared pattern); level 0 are the codes themselves."""
+def _nodes(bucket: np.ndarray, codes: np.ndarray, roots: np.ndarray):
+    """Levels of (first child, end, bucket, shared mask, shared pattern, the one root of all below or -1); level 0 are the codes."""
     n = len(codes)
-    whole = np.full(n, ~np.uint64(0))
-    levels = [(np.arange(n), np.arange(1, n + 1), bucket, codes, codes)]  # AND and OR of what lies below
+    levels = [(np.arange(n), np.arange(1, n + 1), bucket, codes, codes, roots, roots)]  # AND and OR, least and largest of what lies below
     for _ in range(LEVELS):
-        _, _, own, ands, ors = levels[-1]
+        _, _, own, ands, ors, low, high = levels[-1]
         if not len(own):
             break
         fresh = np.concatenate([[True], own[1:] != own[:-1]])
         begin = np.flatnonzero(fresh)
         place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
         first = np.flatnonzero(place % FAN_OUT == 0)
-        levels.append((first, np.append(first[1:], len(own)), own[first], np.bitwise_and.reduceat(ands, first), np.bitwise_or.reduceat(ors, first)))
-    return [(a, b, own, ~(x ^ y) & whole[0] if n else x, x) for a, b, own, x, y in levels]
+        levels.append((
+            first, np.append(first[1:], len(own)), own[first], np.bitwise_and.reduceat(ands, first), np.bitwise_or.reduceat(ors, first),
+            np.minimum.reduceat(low, first), np.maximum.reduceat(high, first),
+        ))
+    return [(a, b, own, ~(x ^ y), x, np.where(low == high, low, -1)) for a, b, own, x, y, low, high in levels]
 
 
-def links(bucket: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of codes of one bucket at most ``distance`` bits apart; codes in Gray order within ascending buckets."""
-    levels = _nodes(bucket, codes)
+def links(bucket: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of codes of one bucket at most ``distance`` bits apart; codes in Gray order within ascending buckets. Pairs that
+    have one root already are left out."""
+    levels = _nodes(bucket, codes, np.arange(len(codes)) if roots is None else roots)
     top = len(levels) - 1
 
     def descend(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(a), PAIRS_AT_ONCE):
             x, y = a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]
-            _, _, _, mask, pattern = levels[level]
+            _, _, _, mask, pattern, root = levels[level]
             near = np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= distance
+            near &= (root[x] != root[y]) | (root[x] < 0)
             x, y = x[near], y[near]
             if level == 0:
                 yield x, y
@@ -156,15 +172,15 @@ def links(bucket: np.ndarray, codes: np.ndarray, distance: int = DISTANCE) -> It
             yield from descend(top, (part + i).ravel(), (part + j).ravel())
 
 
-def _stars_of(distance: int):
+def _stars_of(distance: int, check_distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            # Buckets are sorted, so all but the last may be done.
-            if rows >= 200_000:
+            # Buckets are sorted, so all but the last, which is of bounded size, are whole.
+            if rows >= ROWS_AT_ONCE:
                 done, rest = _cut_last(pa.Table.from_batches(held))
                 if done.num_rows:
                     yield found(done)
@@ -174,76 +190,78 @@ def _stars_of(distance: int):
 
     def _cut_last(t: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
         bucket = t.column("bucket").to_numpy()
-        last = int(np.searchsorted(bucket, bucket[-1])) if (bucket[1:] >= bucket[:-1]).all() else int(np.flatnonzero(bucket != bucket[-1]).max(initial=-1)) + 1
+        last = int(np.flatnonzero(bucket != bucket[-1]).max(initial=-1)) + 1
         return t.slice(0, last), t.slice(last).combine_chunks().to_batches()[0]
 
     def found(t: pa.Table) -> pa.RecordBatch:
-        bucket, fp, rep = (t.column(c).to_numpy() for c in ("bucket", "fp", "rep"))
-        codes = fp.view(np.uint64) if fp.dtype == np.int64 else fp
+        bucket, node, code, check = (t.column(c).to_numpy() for c in ("bucket", "node", "code", "check"))
+        codes = code.view(np.uint64)
         order = np.lexsort((gray_rank(codes), bucket))
-        bucket, codes, rep = bucket[order], codes[order], rep[order]
+        bucket, codes, node, checks = bucket[order], codes[order], node[order], check.view(np.uint64)[order]
+
+        def checked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
+            return a[near], b[near]
+
         forest = _Forest(len(codes))
-        for a, b in links(bucket, codes, distance):
-            forest.link(a, b)
+        beside = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance))
+        forest.link(*checked(beside, beside + 1))
+        for a, b in links(bucket, codes, distance, forest.roots().copy()):
+            forest.link(*checked(a, b))
         roots = forest.roots()
-        least = rep.copy()
-        np.minimum.at(least, roots, rep)
-        to = least[roots]
-        some = rep != to
-        return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(to[some])], names=["a", "b"])
+        some = node != node[roots]
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[roots][some])], names=["a", "b"])
 
     return run
 
 
-def near_stars(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between the ids ``rep`` of distinct fingerprints ``fp`` that keep all links connected."""
-    spark = ship(codes.sparkSession)
-    values = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for k, (a, w) in enumerate(bands(distance))]
-    routed = codes.select("fp", "rep", F.explode(F.array(*values)).alias("at")).select("fp", "rep", F.xxhash64("at.band", "at.value").alias("bucket"))
-    sizes = routed.groupBy("bucket").agg(F.count("*").alias("n"))
-    most = max(LEAST_CHUNK, codes.count() * (distance + 1) // (2 * shuffle_partitions(spark)))
-    hot = sizes.where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+def stars_in_buckets(routed: DataFrame, n: int, distance: int, check_distance: int = BITS) -> DataFrame:
+    """Edges (a, b) between the nodes of routed rows (node, code, check, bucket) that keep all links connected: codes of a bucket at
+    most ``distance`` bits apart, whose check words differ in at most ``check_distance``. ``n`` is about the number of rows."""
+    spark = ship(routed.sparkSession)
+    most = min(MOST_CHUNK, max(LEAST_CHUNK, n // (2 * shuffle_partitions(spark))))
+    hot = routed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     split = routed.join(hot, "bucket", "left").withColumn(
         "with", F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
     )
     # A row of chunk i goes to the pairs (i, j) of all j; a pair's bucket holds two chunks.
-    spread = split.select("fp", "rep", "bucket", own.alias("i"), F.explode("with").alias("j"))
+    spread = split.select("node", "code", "check", "bucket", own.alias("i"), F.explode("with").alias("j"))
     keyed = spread.select(
-        F.when(F.col("j") < 0, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))).alias("bucket"), "fp", "rep"
+        F.when(F.col("j") < 0, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))).alias("bucket"), "node", "code", "check"
     )
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars_of(distance), "a bigint, b bigint")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars_of(distance, check_distance), "a bigint, b bigint")
 
 
-def groups(own: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, group) of the distinct fingerprints of (doc_id, fp): the smallest doc_id reachable, or a number from _NAMELESS on."""
-    nameless = F.lit(_NAMELESS) + F.col("fp").bitwiseAND(F.lit(_NAMELESS - 1))
-    codes = own.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("rep"))
-    roots = stars(near_stars(codes, distance))
-    return codes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("group"))
+def near_stars(codes: DataFrame, distance: int = DISTANCE, agree: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that keep all links of at most ``distance`` bits connected."""
+    n = codes.count()
+    agree = agree or agreement(n, distance)
+    parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in bands(distance, agree)]
+    choices = list(combinations(range(len(parts)), agree))
+    values = F.array(*[F.xxhash64(F.lit(k), *[parts[i] for i in choice]) for k, choice in enumerate(choices)])
+    routed = codes.select(F.col("fp").alias("node"), F.col("fp").alias("code"), F.lit(0).cast("bigint").alias("check"), F.explode(values).alias("bucket"))
+    return stars_in_buckets(routed, n * len(choices), distance)
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    own = cut(with_fingerprints(documents(docs), shingle).select("doc_id", "fp"))
-    named = groups(own, distance).select("fp", F.when(F.col("group") < _NAMELESS, F.col("group")).alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+def groups(own: DataFrame, distance: int = DISTANCE, agree: int | None = None) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of (doc_id, fp): the smallest doc_id reachable, null if there is none."""
+    codes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return smallest(codes, near_stars(codes.select("fp"), distance, agree))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs without those of documents that are linked, over any path, to one of a smaller id.
+def smallest(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id): a number that names the component, and the smallest ``least`` in it."""
+    roots = stars(edges)
+    placed = cut(codes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return placed.join(ids, "root").select("fp", "root", "component_id")
 
-    Rows of one doc_id are one document. Of rows without a doc_id, one stays in each group that has no other.
-    """
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, agree: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
     own = cut(with_fingerprints(documents(docs), shingle).select("doc_id", "fp"))
-    found = cut(groups(own, distance))
-    linked = own.join(found, "fp")
-    losers = linked.where(F.col("doc_id") != F.col("group")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(losers, "doc_id", "left_anti").select(docs.columns)
-    fp, group = fresh(docs, "fp", "group")
-    left = found.where(F.col("group") >= _NAMELESS).select(F.col("fp").alias(fp), F.col("group").alias(group))
-    nameless = with_fingerprints(docs.where(F.col("doc_id").isNull()), shingle, fp).join(left, fp)
-    return named.unionByName(nameless.dropDuplicates([group]).select(docs.columns))
+    return own.join(groups(own, distance, agree), "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
