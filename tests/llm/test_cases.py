@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fixity, packing, pieces, pii, quality, repeats, simhash, topk, toxicity, urlrules
+from tidemark.llm import fixity, neardup, packing, pieces, pii, quality, repeats, simhash, topk, toxicity, urlrules
 
 LONG = "the long text of many words goes on and on, 4111 1111 1111 1111 " * 3000
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, fp string, pii int, n_bytes string, kept boolean, ids string, rows int, block int"
@@ -71,15 +71,15 @@ def test_simhash(odd, none):
     assert (found[1].component_id, found[2].component_id, found[6].component_id) == (1, 1, 4)
     assert {r.component_id for r in rows if r.doc_id is None} == {1, 4}
     assert simhash.near_components(none).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 7, 7, 8]
-    assert simhash.keep_one(none).count() == 0
+    assert neardup.keep_one(none).count() == 0
 
 
 def test_keep_one_without_ids(spark):
     rows = table(spark, [(None, "a b c d e f"), (None, "A b c d e f"), (None, "quite another text, of other words"), (3, "quite another text, of other words")])
-    kept = sorted((r.doc_id or -1, r.text.lower()) for r in simhash.keep_one(rows).collect())
+    kept = sorted((r.doc_id or -1, r.text.lower()) for r in neardup.keep_one(rows).collect())
     assert kept == [(-1, "a b c d e f"), (3, "quite another text, of other words")]
 
 
@@ -101,13 +101,13 @@ def test_null_id_is_the_largest(spark):
 
 
 def test_pii(odd, none):
-    rows = pii.pseudonymise(odd).collect()
+    rows = pii.pseudonymise(odd, pii.EXAMPLE_KEY).collect()
     assert len(rows) == len(ODD)
     texts = {r.doc_id: r.text for r in rows}
     assert texts[1] == "" and texts[8] == "\x00\x1c ˈ½²"
     assert "4111 1111" not in texts[5] and len(texts[5]) == len(LONG)
     assert {r.pii.card for r in rows if r.doc_id == 5} == {3000}
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, pii.EXAMPLE_KEY).count() == 0
 
 
 def test_toxicity(spark, odd, none):
@@ -137,10 +137,10 @@ def test_vectors(spark):
     rows = [(0, [1.0, 0.0], "c"), (0, [1.0, 0.0], "c"), (50, [0.5], "c"), (1, None, "c"), (2, [float("nan"), 1.0], None), (3, [None, 1.0], "c"), (4, [float("inf"), 0.0], "c"), (5, [-1.0, 2.0], "c"), (None, [1.0, 1.0], "c"), (6, [-1.0, 2.0], "c"), (7, [], "c")]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
     v = topk.integers(table)
-    found = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect())
+    found = sorted(tuple(r) for r in topk.top_k(v, F.col("vec_id") % 50 == 0, 5).collect())
     # Ids 0 (twice), 50, 5, 6, 7 take part; missing components are 0.
     assert found == [(0, 1, 50, 256 * 128), (0, 2, 7, 0), (0, 3, 5, -(256**2)), (0, 4, 6, -(256**2)), (50, 1, 0, 256 * 128), (50, 2, 7, 0), (50, 3, 5, -256 * 128), (50, 4, 6, -256 * 128)]
-    assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
+    assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
 def test_fixity(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import catalog, pii, repeats, simhash, toxicity
+from tidemark.llm import catalog, neardup, pii, repeats, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,13 +35,13 @@ def test_stages(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     clean = {r.doc_id for r in toxicity.score_documents(docs, model).where(F.col("score") < toxicity.THRESHOLD).collect()}
     assert {r.doc_id for r in kept[0][1].collect()} == clean
-    heads = {r.component_id for r in simhash.near_components(kept[1][0]).collect()}
-    assert {r.doc_id for r in kept[1][1].collect()} == heads
+    _, found = neardup.components(kept[1][0])
+    assert {r.doc_id for r in kept[1][1].collect()} == {r.component_id for r in found.collect()}
     whole = {r.doc_id: r.n_removed for r in repeats.mark_repeats(kept[2][0]).collect()}
     assert {r.doc_id for r in kept[2][1].collect()} == set(whole)
     assert sum(whole.values()) > 0
     assert {r.doc_id for r in kept[3][1].collect()} == set(whole)
-    again = pii.pseudonymise(kept[3][0]).agg(F.sum(F.expr("pii.card + pii.phone + pii.ip + pii.email + pii.secret"))).first()[0]
+    again = pii.pseudonymise(kept[3][0], pii.EXAMPLE_KEY).agg(F.sum(F.expr("pii.card + pii.phone + pii.ip + pii.email + pii.secret"))).first()[0]
     changed = kept[3][0].alias("a").join(kept[3][1].alias("b"), "doc_id").where("a.text <> b.text").count()
     assert 0 < changed <= again
 
