@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of ``documents``; ``n_chars`` follows the text.
+columns of ``documents``, and leave other columns out; ``n_chars`` follows the text where a stage changes it.
+
+Defined cases: a null text is an empty one from the repeats stage on, and as such one token, the end, when it is packed; a
+text without a word isn't toxic, and all such texts are near duplicates of one another; of rows that share a doc_id all stay
+or none in the near-duplicate stage, and each is packed; a null doc_id is never held out, the largest in the repeats stage,
+and one of a group of near duplicates that all have none stays; texts of any length are worked on whole; a repeated row is a
+near duplicate that goes unless it shares the doc_id; an empty table gives none at every stage. Without labels of both
+classes nothing is toxic. Pseudonyms take their key from spark.tidemark.pii.key, see ``pii.key_of``.
 """
 
 from __future__ import annotations
@@ -22,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that of the smallest id of each group stays."""
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, that of the smallest id of each group stays; candidates
+    come from the Gray-order index over several SimHashes."""
     return neardup.keep_one(docs.select(COLUMNS))
 
 
@@ -34,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values get their pseudonyms."""
-    return pii.pseudonymise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+    return pii.pseudonymise(docs.select(COLUMNS), pii.key_of(spark)).withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
