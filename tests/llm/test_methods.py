@@ -268,14 +268,42 @@ def tricky():
     return docs
 
 
-@pytest.mark.parametrize(("block", "buckets"), [(1 << 20, 1), (700, 5)])
-def test_repeats_equal_brute_force(spark, block, buckets):
+@pytest.mark.parametrize(("block", "buckets", "fan"), [(1 << 20, 1, 1024), (700, 5, 1024), (700, 2, 7), (400, 1, 3)])
+def test_repeats_equal_brute_force(spark, monkeypatch, block, buckets, fan):
+    monkeypatch.setattr(repeats, "FAN", fan)
     docs = tricky()
     frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
     rows = repeats.mark_repeats(frame, block_bytes=block, buckets=buckets).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain_repeats(docs)
 
 
+def test_a_passage_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "FAN", 8)
+    passage = "here is a passage which every document of this large collection has, whatever else it may hold"
+    docs = {i: f"number {i * 7919} of the collection: {passage}. {i * 104729}" for i in range(400)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    rows = repeats.mark_repeats(frame, block_bytes=2000, buckets=2).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == plain_repeats(docs)
+
+
+@pytest.mark.parametrize("blocks", [6, 100, 400])
+def test_no_bucket_grows_with_the_blocks(spark, monkeypatch, blocks):
+    """However many blocks have something for a bucket, a task is sent a bounded number of them."""
+    monkeypatch.setattr(repeats, "FAN", 8)
+    import pyarrow as pa
+
+    def counted(t, *above):
+        most = max([len(t), *(int(a.column("blob")[0].as_py()) for a in above)])
+        return pa.table([t.column("bucket"), t.column("block"), pa.array([b"%d" % most] * len(t))], names=["bucket", "block", "blob"])
+
+    def fold(t):
+        return pa.table([t.column("bucket").slice(0, 1), t.column("above").slice(0, 1), pa.array([b""])], names=["bucket", "block", "blob"])
+
+    sent = spark.range(blocks).selectExpr("CAST(1 AS bigint) AS bucket", "id AS block", "CAST('' AS binary) AS blob")
+    rows = repeats.exchange(sent, blocks, counted, fold, lambda t, above: counted(t, above)).collect()
+    assert {r.block for r in rows} == set(range(blocks)) and max(int(r.blob) for r in rows) <= 3 * 8
+
+
 def test_hot_phrases_equal_brute_force(spark):
     """A form text with a number in it: one trigger, very many phrases."""
     form = "Dear reader, your very own number for this season is {} and nobody else in the whole wide world has the same one."

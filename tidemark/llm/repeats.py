@@ -15,11 +15,15 @@ phrases with the same trigger gram, wherever they stand.
 3. Parse: each block walks its parse in document order and marks, phrase by phrase, the windows whose first document is
    smaller than their own.
 
-Blocks, phrases and buckets are bounded whatever is repeated how often: a block sends a phrase once for all its documents,
-so a passage of millions of copies reaches its bucket once per block. Where a trigger has many different phrases, as in a form
-text around a number, its phrases are cut into their single windows, which go to buckets of their own by their bytes.
+A phrase reaches LENGTH bytes beyond its trigger's neighbourhood, so it holds as much of the parse as a window can see, and no
+order of whole parse suffixes is needed: one entry per byte of the corpus, it would take many times the input's size.
 
-Defined cases: a null text is an empty one; a null doc_id is larger than all others; rows of one doc_id are one document
+Blocks, phrases and buckets are bounded whatever is repeated how often: a block sends a phrase once for all its documents, and
+beyond ``FAN`` blocks what they send is folded in groups of FAN first, level by level, and the answers come back the same
+way; so a passage of millions of copies reaches a bucket at most FAN times. Where a trigger has many different phrases, as in
+a form text around a number, its phrases are cut into their single windows, which go to buckets of their own by their bytes.
+
+Defined cases: a null text is an empty one; a null doc_id counts as 2^63 - 1, the largest; rows of one doc_id are one document
 for the comparison and are returned each; texts shorter than LENGTH stay; an empty table gives none.
 """
 
@@ -45,6 +49,8 @@ BLOCK_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 PLACE_BITS = 28
 HOT_PHRASES = 1024  # of one trigger, over all blocks
+FAN = 1024  # blocks, or groups of them, that are folded into one
+MANY = 65_535
 LAST = (1 << 63) - 1  # the id of rows without one
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -162,11 +168,11 @@ def _triggers(block: Block, p: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _phrases_of(p: Parse, slot: np.ndarray, n: int) -> np.ndarray:
-    """How many different phrases each of n triggers has, up to what a byte holds."""
+    """How many different phrases each of n triggers has, up to MANY."""
     order = np.lexsort((p.phrase, slot))
     s, h = slot[order], p.phrase[order]
     fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
-    return np.minimum(np.bincount(s[fresh], minlength=n), 255).astype(np.uint8)
+    return np.minimum(np.bincount(s[fresh], minlength=n), MANY).astype(np.uint16)
 
 
 def _split_hot(block: Block, p: Parse, shared: np.ndarray, hot: np.ndarray) -> tuple[Parse, np.ndarray]:
@@ -301,23 +307,77 @@ def _ask(id_name: str, text_name: str, n: int):
     return run
 
 
+@dataclass(frozen=True)
+class _Asked:
+    """Trigger hashes that several senders have sent: the distinct ones, and what is known of each."""
+
+    sizes: list[int]  # hashes of each sender
+    slot: np.ndarray  # the place of each sender's hashes among the distinct ones
+    names: np.ndarray
+    shared: np.ndarray  # whether two documents have it
+    kinds: np.ndarray  # phrases, counted by sender
+
+    @classmethod
+    def read(cls, t: pa.Table) -> _Asked:
+        columns = [_unsqueeze(b, np.uint64, np.uint8, np.uint16) for b in t.column("blob").to_pylist()]
+        sent = [np.cumsum(c[0], dtype=np.uint64) for c in columns]
+        sizes = list(map(len, sent))
+        several = np.concatenate([np.unpackbits(c[1], count=k).astype(bool) for c, k in zip(columns, sizes, strict=True)])
+        names, slot, times = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        shared = times > 1
+        shared[slot[several]] = True
+        return cls(sizes, slot, names, shared, np.bincount(slot, weights=np.concatenate([c[2] for c in columns]), minlength=len(names)))
+
+    def reply(self, t: pa.Table, shared: np.ndarray, hot: np.ndarray) -> pa.Table:
+        """A bit per hash of each sender, set if another document has it, and one set if it is hot."""
+        out, at = [], 0
+        for n in self.sizes:
+            own = self.slot[at : at + n]
+            out.append(_squeeze(np.packbits(shared[own]), np.packbits(hot[own])))
+            at += n
+        return _replies(t, out)
+
+
+def _replies(t: pa.Table, blobs: list[bytes]) -> pa.Table:
+    return pa.table([t.column("bucket"), t.column("block"), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+
+
+def _folded(t: pa.Table, blob: bytes) -> pa.Table:
+    """What the senders of a group send as one."""
+    return pa.table([t.column("bucket").slice(0, 1), t.column("above").slice(0, 1), pa.array([blob], pa.binary())], names=["bucket", "block", "blob"])
+
+
 def _answer(t: pa.Table) -> pa.Table:
-    """Step 1, in a bucket: a bit per hash of each block, set if another document has it, and one set if it is hot."""
-    columns = [_unsqueeze(b, np.uint64, np.uint8, np.uint8) for b in t.column("blob").to_pylist()]
-    names = [np.cumsum(c[0], dtype=np.uint64) for c in columns]
-    sizes = list(map(len, names))
-    several = np.concatenate([np.unpackbits(c[1], count=k).astype(bool) for c, k in zip(columns, sizes, strict=True)])
-    whole, kinds = np.concatenate(names), np.concatenate([c[2] for c in columns])
-    distinct, slot, times = np.unique(whole, return_inverse=True, return_counts=True)
-    again = np.zeros(len(distinct), bool)
-    again[slot[several]] = True
-    shared = (again | (times > 1))[slot]
-    hot = shared & (np.bincount(slot, weights=kinds) > HOT_PHRASES)[slot]
-    out, at = [], 0
-    for n in sizes:
-        out.append(_squeeze(np.packbits(shared[at : at + n]), np.packbits(hot[at : at + n])))
-        at += n
-    return pa.table([t.column("bucket"), t.column("block"), pa.array(out, pa.binary())], names=["bucket", "block", "blob"])
+    """Step 1, in a bucket."""
+    a = _Asked.read(t)
+    return a.reply(t, a.shared, a.shared & (a.kinds > HOT_PHRASES))
+
+
+def _fold_asked(t: pa.Table) -> pa.Table:
+    a = _Asked.read(t)
+    return _folded(t, _squeeze(np.diff(a.names, prepend=np.uint64(0)), np.packbits(a.shared), np.minimum(a.kinds, MANY).astype(np.uint16)))
+
+
+def _hand_down_asked(t: pa.Table, from_above: pa.Table) -> pa.Table:
+    a = _Asked.read(t)
+    shared, hot = (np.unpackbits(x, count=len(a.names)).astype(bool) for x in _unsqueeze(from_above.column("blob")[0].as_py(), np.uint8, np.uint8))
+    return a.reply(t, shared, hot)
+
+
+REPLY = "bucket bigint, block bigint, blob binary"
+
+
+def exchange(sent: DataFrame, n: int, answer, fold, hand_down) -> DataFrame:
+    """(bucket, block, blob): the answer of each bucket to each of n senders. Beyond FAN senders, groups of them are folded
+    into one sender, who gets the bucket's answer and hands it down."""
+    if n <= FAN:
+        return sent.groupBy("bucket").applyInArrow(answer, REPLY)
+    groups = -(-n // FAN)
+    # Even groups by hash; a group of twice the mean size is beyond chance.
+    sent = cut(sent.withColumn("above", F.pmod(F.xxhash64("block"), F.lit(groups))))
+    folded = cut(sent.groupBy("bucket", "above").applyInArrow(fold, REPLY))
+    replies = exchange(folded, groups, answer, fold, hand_down).withColumnRenamed("block", "above")
+    return sent.groupBy("bucket", "above").cogroup(replies.groupBy("bucket", "above")).applyInArrow(hand_down, REPLY)
 
 
 def _told_of(block: Block, n: int, answers: dict[int, bytes]) -> tuple[Parse, Entries]:
@@ -382,60 +442,92 @@ def suffix_runs(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(ranked) else ranked
 
 
-def _dictionary(t: pa.Table) -> pa.Table:
-    """Step 2, in a bucket: for each phrase of each block, the windows that a smaller document has too.
+@dataclass(frozen=True)
+class _Told:
+    """The phrases that several senders have sent, and the dictionary of the distinct ones."""
 
-    The reply has, for each phrase, 0 (none), 1 (all) or 2 (some), and a mask for each of the last kind.
-    """
-    columns = [_unsqueeze(b, np.uint8, np.uint16, np.uint16, np.int64) for b in t.column("blob").to_pylist()]
-    text = np.concatenate([c[0] for c in columns])
-    size, mark, doc = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (1, 2, 3))
-    counts = [len(c[1]) for c in columns]
-    del columns
-    begin = np.cumsum(size) - size
-    raw = text.tobytes()
-    bodies = [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
-    # The dictionary: equal phrases with their triggers in one place are one, of the smallest document.
-    number: dict[tuple[bytes, int], int] = {}
-    of = np.fromiter((number.setdefault(k, len(number)) for k in zip(bodies, mark.tolist(), strict=True)), np.int64, len(bodies))
-    first = np.full(len(number), LAST)
-    np.minimum.at(first, of, doc)
+    counts: list[int]  # phrases of each sender
+    of: np.ndarray  # each sent phrase's place in the dictionary
+    doc: np.ndarray  # and its smallest document
+    text: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    mark: np.ndarray  # the trigger's place in the phrase
+    sample: np.ndarray  # a sent phrase for each of the dictionary
+    first: np.ndarray  # the smallest document of each of the dictionary
+
+    @classmethod
+    def read(cls, t: pa.Table) -> _Told:
+        columns = [_unsqueeze(b, np.uint8, np.uint16, np.uint16, np.int64) for b in t.column("blob").to_pylist()]
+        text = np.concatenate([c[0] for c in columns])
+        size, mark, doc = (np.concatenate([c[k] for c in columns]).astype(np.int64) for k in (1, 2, 3))
+        begin = np.cumsum(size) - size
+        raw = text.tobytes()
+        # Equal phrases with their triggers in one place are one, of the smallest document.
+        number: dict[tuple[bytes, int], int] = {}
+        of = np.fromiter((number.setdefault((raw[a : a + n], m), len(number)) for a, n, m in zip(begin.tolist(), size.tolist(), mark.tolist(), strict=True)), np.int64, len(begin))
+        first = np.full(len(number), LAST)
+        np.minimum.at(first, of, doc)
+        sample = np.zeros(len(number), np.int64)
+        sample[of] = np.arange(len(of))
+        return cls([len(c[1]) for c in columns], of, doc, text, begin, size, mark, sample, first)
+
+    def gram(self, i: int) -> bytes:
+        a = int(self.begin[i] + self.mark[i])
+        return self.text[a : a + GRAM].tobytes()
+
+    def reply(self, t: pa.Table, state: np.ndarray, masks: np.ndarray) -> pa.Table:
+        """For each phrase of each sender 0 (no window is in a smaller document), 1 (all) or 2 (some), and a mask for each of the
+        last kind; ``state`` and ``masks`` are those of the dictionary's phrases against documents below their first."""
+        later = self.first[self.of] < self.doc
+        own_state = np.where(later, 1, state[self.of]).astype(np.uint8)
+        own_masks = masks[self.of]
+        out, at = [], 0
+        for n in self.counts:
+            own = own_state[at : at + n]
+            out.append(_squeeze(own, own_masks[at : at + n][own == 2]))
+            at += n
+        return _replies(t, out)
+
+
+def _dictionary(t: pa.Table) -> pa.Table:
+    """Step 2, in a bucket: the suffix array of the dictionary's phrases, by trigger, tells each window's first document."""
+    d = _Told.read(t)
     grams: dict[bytes, int] = {}
-    trigger = np.fromiter((grams.setdefault(b[m : m + GRAM], len(grams)) for b, m in number), np.int64, len(number))
-    lone = np.bincount(trigger, minlength=len(grams))[trigger] == 1
-    state = (lone[of] & (first[of] < doc)).astype(np.uint8)
-    del raw, bodies, number, grams
-    sample = np.zeros(len(first), np.int64)
-    sample[of] = np.arange(len(of))
-    several = np.flatnonzero(~lone)
-    masks = np.zeros(len(of), np.uint32)
+    trigger = np.fromiter((grams.setdefault(d.gram(i), len(grams)) for i in d.sample.tolist()), np.int64, len(d.sample))
+    state, masks = np.zeros(len(d.sample), np.uint8), np.zeros(len(d.sample), np.uint32)
+    # Of a trigger with one phrase, no other phrase has a window, so the phrase's first document is that of all its windows.
+    several = np.flatnonzero(np.bincount(trigger, minlength=len(grams))[trigger] > 1)
     if len(several):
-        windows = size[sample[several]] - LENGTH + 1
+        windows = d.size[d.sample[several]] - LENGTH + 1
+        starts = np.cumsum(windows) - windows
         owner = np.repeat(np.arange(len(several)), windows)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        order, run = suffix_runs(text, begin[sample[several]][owner] + place)
+        place = np.arange(len(owner)) - np.repeat(starts, windows)
+        order, run = suffix_runs(d.text, d.begin[d.sample[several]][owner] + place)
         least = np.full(int(run[-1]) + 1, LAST)
-        np.minimum.at(least, run, first[several][owner[order]])
+        np.minimum.at(least, run, d.first[several][owner[order]])
         earliest = np.empty(len(owner), np.int64)
         earliest[order] = least[run]
-        at = np.cumsum(windows) - windows
-        local = np.full(len(first), -1)
-        local[several] = np.arange(len(several))
-        who = np.flatnonzero(~lone[of])
-        mine, n = local[of[who]], windows[local[of[who]]]
-        flat = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        again = earliest[flat] < np.repeat(doc[who], n)
-        starts = np.cumsum(n) - n
-        bit = (np.arange(n.sum()) - np.repeat(starts, n)).astype(np.uint32)
-        masks[who] = np.bitwise_or.reduceat(again.astype(np.uint32) << bit, starts)
-        full = masks[who] == (np.uint32(1) << n.astype(np.uint32)) - np.uint32(1)
-        state[who] = np.where(full, 1, np.where(masks[who] > 0, 2, 0))
-    out, at = [], 0
-    for n in counts:
-        own = state[at : at + n]
-        out.append(_squeeze(own, masks[at : at + n][own == 2]))
-        at += n
-    return pa.table([t.column("bucket"), t.column("block"), pa.array(out, pa.binary())], names=["bucket", "block", "blob"])
+        again = earliest < d.first[several][owner]
+        masks[several] = np.bitwise_or.reduceat(again.astype(np.uint32) << place.astype(np.uint32), starts)
+        full = masks[several] == (np.uint32(1) << windows.astype(np.uint32)) - np.uint32(1)
+        state[several] = np.where(full, 1, np.where(masks[several] > 0, 2, 0))
+    return d.reply(t, state, masks)
+
+
+def _fold_told(t: pa.Table) -> pa.Table:
+    d = _Told.read(t)
+    begin, size = d.begin[d.sample], d.size[d.sample]
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return _folded(t, _squeeze(d.text[at], size.astype(np.uint16), d.mark[d.sample].astype(np.uint16), d.first))
+
+
+def _hand_down_told(t: pa.Table, from_above: pa.Table) -> pa.Table:
+    d = _Told.read(t)
+    state, some = _unsqueeze(from_above.column("blob")[0].as_py(), np.uint8, np.uint32)
+    masks = np.zeros(len(state), np.uint32)
+    masks[state == 2] = some
+    return d.reply(t, state, masks)
 
 
 def removed(block: Block, p: Parse, e: Entries, replies: dict[int, bytes]) -> np.ndarray:
@@ -501,18 +593,19 @@ def mark_repeats(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
 
     kept_text is the bytes that stay, as text; characters of which a removal left only a part are left out.
     """
-    docs = without(docs, *[name for name, _ in RESULT])
+    docs = without(docs, *[name for name, _ in RESULT[: 4 + with_kept]])
     own = cut(blocks(docs, id_name, text_name, block_bytes))
-    n = buckets or bucket_count(own.agg(F.sum("bytes")).first()[0] or 0)
+    n_blocks, total = own.agg(F.count("*"), F.sum("bytes")).first()
+    n = buckets or bucket_count(total or 0)
     rows = own.select("block", "rows")
-    reply = "bucket bigint, block bigint, blob binary"
 
     def by_block(replies: DataFrame, name: str) -> DataFrame:
         return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
 
-    shared = cut(by_block(rows.mapInArrow(_ask(id_name, text_name, n), reply).groupBy("bucket").applyInArrow(_answer, reply), "shared"))
+    shared = cut(by_block(exchange(rows.mapInArrow(_ask(id_name, text_name, n), REPLY), n_blocks, _answer, _fold_asked, _hand_down_asked), "shared"))
     known = rows.join(shared, "block", "left")
-    told = by_block(known.select("block", "rows", "shared").mapInArrow(_tell(id_name, text_name, n), reply).groupBy("bucket").applyInArrow(_dictionary, reply), "told")
+    sent = known.select("block", "rows", "shared").mapInArrow(_tell(id_name, text_name, n), REPLY)
+    told = by_block(exchange(sent, n_blocks, _dictionary, _fold_told, _hand_down_told), "told")
     schema = T.StructType([*docs.withColumns({id_name: F.col(id_name).cast("bigint"), text_name: F.col(text_name).cast("string")}).schema.fields, *[T.StructField(a, b) for a, b in RESULT[: 4 + with_kept]]])
     return known.join(told, "block", "left").select("rows", "shared", "told").mapInArrow(_mark(id_name, text_name, n, with_kept), schema)
 
