@@ -130,6 +130,8 @@ def test_urls(spark):
     assert [rows[i].host for i in range(6)] == ["", "", "", "", "org", "org"]
     assert [rows[i].rule for i in range(len(urls) + 1)] == [None, None, None, None, None, "org/", "example.org/es/", "example.org/en/1", "org/", None, "com/de/", None, None, "example.org/es/"]
     assert (rows[6].verdict, rows[0].verdict, rows[9].path) == ("block", "allow", "")
+    frame = spark.createDataFrame(urlrules.QUERY_RULES, "verdict string, text string")
+    assert sorted(map(tuple, urlrules.judge(pages, frame, per_pass=2).collect()), key=repr) == sorted(map(tuple, urlrules.judge(pages, urlrules.QUERY_RULES).collect()), key=repr)
     assert urlrules.judge(pages.limit(0), urlrules.QUERY_RULES).count() == 0
 
 
@@ -152,3 +154,28 @@ def test_fixity(spark):
     assert fixity.fixity(pages.limit(0), pages.limit(0)).count() == 0
     changed = pages.withColumn("html", F.when(F.col("page_id") == 7, "!").otherwise(F.col("html"))).where("page_id IS NULL OR page_id <> 9")
     assert {r.record_key: r.status for r in fixity.fixity(pages, changed).where("status <> 'intact'").collect()} == {7: "damaged", 9: "missing"}
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_the_pipeline(spark, odd, none, at, tmp_path):
+    """Each stage over the odd table and over none: whole rows of the documents' columns come out."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id bigint, quality int, toxic int".replace("quality int, ", ""))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    name, stage = corpus_pipeline.STAGES[at]
+    out = stage(spark, odd, str(tmp_path))
+    rows = out.collect()
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    if name == "packing":
+        assert {r.doc_id for r in rows} == {i for i, _ in ODD}
+        return
+    assert out.columns == corpus_pipeline.COLUMNS
+    ids = sorted((r.doc_id or -1) for r in rows)
+    if name == "toxicity":
+        assert ids[0] == -1 and {1, 2, 3} <= set(ids)  # no word, not toxic
+    elif name == "near_duplicates":
+        assert ids == [1, 4, 5, 7, 7, 8]
+    else:
+        assert len(rows) == len(ODD) and {r.text for r in rows if r.doc_id == 1} == {""}
+        assert all(r.n_chars == len(r.text) for r in rows)

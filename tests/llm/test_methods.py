@@ -39,6 +39,27 @@ def test_tokens_are_the_librarys(texts):
     assert own.encode(odd[4:5])[0].tolist() == library.encode(odd[4], add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_are_left_to_the_library(spark, texts):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = packing.WordTokenizer(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    some = [*list(texts.values())[:20], "A b  C\n", ""]
+    assert [x.tolist() for x in own.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    spec = json.load(open(packing.default_tokenizer(), encoding="utf-8"))
+    assert packing.goes_by_chunks(json.dumps(spec))
+    spec["normalizer"]["normalizers"].pop()  # cased, else alike
+    own, library = packing.WordTokenizer(json.dumps(spec)), Tokenizer.from_str(json.dumps(spec))
+    assert not own.by_chunks
+    assert [x.tolist() for x in own.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+    pieces_ = packing.pack_documents(docs, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces_} == {i: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(some)}
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.lists(st.integers(1, 9000), max_size=40))
 def test_pack_places_every_id_once_without_padding(lengths):
@@ -345,6 +366,19 @@ def test_suffix_runs_are_sorted():
 
 # Quality.
 
+def test_windows_are_compared_not_only_hashed(monkeypatch):
+    words = [f"w{i}".encode() for i in range(40)] + [f"w{i}".encode() for i in range(5, 14)]
+    assert quality.repeat_words(words) == 18
+    monkeypatch.setattr(quality, "_ODD", np.zeros(quality.WINDOW, np.uint64))  # every window has one hash
+    assert quality.repeat_words(words) == 18
+    assert quality.repeat_words(words[:40]) == 0
+
+
+def test_cases_are_letters():
+    assert quality.cases("AbÉßⅧǅ１") == (2, 2)
+    assert quality.cases("Ab1") == (1, 1)
+
+
 def test_rules_and_policies(spark):
     clean = " ".join(f"word{i}" for i in range(40))
     rows = [(0, clean), (1, clean.upper()), (2, " ".join(f"word{i}###" for i in range(40))), (3, "a b c d e f g h " * 5), (4, "few words"), (5, " ".join(w for i in range(9) for w in [f"word{i}"] * 6))]
@@ -661,6 +695,29 @@ def test_tree_depends_on_content_and_place(spark):
     assert leaf.hash == hashlib.sha256(first.encode()).hexdigest() and leaf.length == len(first.encode())
 
 
+def test_the_audit_tells_offsets_from_the_way_down(spark, monkeypatch):
+    """Over several volumes and parts; only tables of differing nodes are opened below the root."""
+    monkeypatch.setattr(fixity, "LEAVES_A_PART", 500)
+    pages = spark.range(9500).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat('h', CAST(id % 7 AS INT)) AS html")
+    changed = pages.where("page_id <> 4100").withColumn("html", F.when(F.col("page_id").isin(3, 9000), "!!!").otherwise(F.col("html")))
+    changed = changed.unionByName(spark.createDataFrame([(9600, "new", "page")], "page_id bigint, url string, html string"))
+    first, second = fixity.leaves(fixity.records(pages)), fixity.leaves(fixity.records(changed))
+    height = fixity.height_of(first, second)
+    ours, theirs = fixity._above(first.cache(), height), fixity._above(second.cache(), height)
+    assert ours.parts > 1
+    found = {r.record_key: r for r in fixity.audit(ours, theirs).collect()}
+    assert {k: r.status for k, r in found.items()} == {3: "damaged", 4100: "missing", 9000: "damaged", 9600: "extra"}
+    placed = {r.node: r for r in fixity.placed(first).where(F.col("node").isin(3, 4100, 9000)).collect()}
+    assert all((found[k].start, found[k].length) == (placed[k].start, placed[k].length) for k in placed)
+    extra = fixity.placed(second).where("node = 9600").first()
+    assert (found[9600].start, found[9600].length) == (extra.start, extra.length)
+    node = ours.level(1).where("node = 256").first()  # the first of the second volume
+    line = "|".join(f"{k.node}:{k.start}:{k.start + k.length}:{k.hash}" for k in node.kids)
+    assert node.hash == hashlib.sha256(line.encode()).hexdigest() and [k.node for k in node.kids] == list(range(4096, 4112))
+    ours.close()
+    theirs.close()
+
+
 # Toxicity.
 
 def shared_of(words):
@@ -775,4 +832,4 @@ def test_held_out_accuracy(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert {int(m[1]) for n in catalog.QUERIES if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))

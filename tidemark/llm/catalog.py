@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_urls": urlrules.op10_urls,
+    # Further results of the quality ledger.
+    "quality_policies": quality.quality_policies,
+    "quality_ablation": quality.quality_ablation,
 }
 ORACLES = {
     "op3_repeats": repeats.oracle(),
@@ -22,4 +25,6 @@ ORACLES = {
     "op6_quality": quality.oracle(),
     "op7_topk": topk.oracle(),
     "op10_urls": urlrules.oracle(),
+    "quality_policies": quality.oracle_policies(),
+    "quality_ablation": quality.oracle_ablation(),
 }

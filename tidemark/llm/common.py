@@ -6,6 +6,7 @@ import ctypes
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -49,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table of one's own."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id bigint, text string): a null text counts as an empty one."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -1,10 +1,12 @@
 """Merkle fixity audit of WARC records kept in several replicas.
 
 Pages become WARC response records. A record's place is its key (the page id), a volume is a run of ``VOLUME`` keys, and
-inside a volume records follow one another at byte offsets. Leaves hash records; a node hashes the ordered keys, lengths
-and hashes of up to ``FAN_OUT`` children and covers their range of offsets. Keys, not counts, place a node, so a lost record
-changes its own branch only. An audit compares the roots of two replicas and joins, level by level, only the children of
-nodes that differ, down to the damaged records.
+inside a volume records follow one another at byte offsets. Leaves hash records; a node hashes the ordered keys, ranges of
+offsets (from the node's own beginning) and hashes of up to ``FAN_OUT`` children, and keeps them. Keys, not counts, place a
+node, so a lost record changes its own branch only, and the offsets of those behind it below their common nodes. An audit
+compares the roots of two replicas and opens, level by level, only nodes that differ: a node tells its children's hashes, so a
+level is read for its suspects alone. Levels are tables parted by a hash of the volume, and only the parts of suspects
+are listed and read. What is found carries its range of offsets from the way down.
 
 All of it is DataFrame aggregation: at most FAN_OUT rows meet in a group, records of one key are first folded into
 one leaf by sums, which combine before the shuffle.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, fresh_path, remove, table
 
 FAN_BITS = 4
 FAN_OUT = 1 << FAN_BITS
@@ -51,15 +53,41 @@ def leaves(recs: DataFrame) -> DataFrame:
     return folded.select("node", "length", "n", F.when(F.col("n") == 1, F.col("hash")).otherwise(many).alias("hash"))
 
 
+PARTS, LEAVES_A_PART = 4096, 1 << 18  # of a level's table
+KIDS = "array<struct<node: bigint, start: bigint, length: bigint, hash: string>>"
+
+
 @dataclass(frozen=True)
 class Tree:
-    """levels[0] are the leaves; the last level has one node."""
+    """The leaves, and above them the levels: paths of tables (part, node, length, n, hash, kids); the last one has one node."""
+
+    spark: SparkSession
+    leaves: DataFrame
+    paths: list[str]
+    parts: int
+
+    def level(self, h: int) -> DataFrame:
+        """Nodes ``h`` levels above the leaves, 1 at least."""
+        return self.spark.read.schema(f"node bigint, length bigint, n bigint, hash string, kids {KIDS}, part int").parquet(self.paths[h - 1])
 
-    levels: list[DataFrame]
+    @property
+    def height(self) -> int:
+        return len(self.paths)
 
     @property
     def root(self) -> DataFrame:
-        return self.levels[-1]
+        return self.level(self.height)
+
+    def close(self) -> None:
+        """Delete the tables."""
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def _part(level: int, parts: int):
+    """The part of a level's table that a node is in, by its volume."""
+    volume = F.shiftright("node", FAN_BITS * max(0, VOLUME_LEVEL - level))
+    return F.pmod(F.xxhash64(volume), F.lit(parts)).cast("int")
 
 
 def tree(recs: DataFrame, height: int | None = None) -> Tree:
@@ -69,16 +97,21 @@ def tree(recs: DataFrame, height: int | None = None) -> Tree:
 
 
 def _above(leaf_level: DataFrame, height: int) -> Tree:
-    levels = [leaf_level]
+    spark = leaf_level.sparkSession
+    out = Tree(spark, leaf_level, [], min(PARTS, 1 + leaf_level.count() // LEAVES_A_PART))
+    below = leaf_level
     for h in range(1, height + 1):
         # The top level also joins negative keys to the others.
         up = F.shiftright("node", FAN_BITS) if h < height else F.lit(0).cast("bigint")
-        kids = F.array_sort(F.collect_list(F.struct("node", "length", "hash")))
-        line = F.transform(kids, lambda k: F.concat_ws(":", k["node"].cast("string"), k["length"].cast("string"), k["hash"]))
-        whole = levels[-1].groupBy(up.alias("up")).agg(F.sum("length").alias("length"), F.sum("n").alias("n"), F.sha2(F.concat_ws("|", line), 256).alias("hash"))
-        # Each level is read by the next and by the audit; cut, it isn't aggregated again from the leaves.
-        levels.append(cut(whole.withColumnRenamed("up", "node")))
-    return Tree(levels)
+        group = below.groupBy(up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "length", "hash"))).alias("k"), F.sum("length").alias("length"), F.sum("n").alias("n"))
+        placed = F.expr("transform(k, (x, i) -> named_struct('node', x.node, 'start', aggregate(slice(k, 1, i), 0L, (t, y) -> t + y.length), 'length', x.length, 'hash', x.hash))")
+        line = F.expr("concat_ws('|', transform(kids, x -> concat_ws(':', CAST(x.node AS STRING), CAST(x.start AS STRING), CAST(x.start + x.length AS STRING), x.hash)))")
+        whole = group.withColumn("kids", placed).select(F.col("up").alias("node"), "length", "n", F.sha2(line, 256).alias("hash"), "kids")
+        path = fresh_path(spark, f"merkle-{h}")
+        whole.withColumn("part", _part(h, out.parts)).repartition("part").sortWithinPartitions("node").write.partitionBy("part").parquet(path)
+        out.paths.append(path)
+        below = out.level(h)
+    return out
 
 
 def height_of(*leaf_levels: DataFrame) -> int:
@@ -91,20 +124,33 @@ def height_of(*leaf_levels: DataFrame) -> int:
 
 
 def audit(primary: Tree, replica: Tree) -> DataFrame:
-    """(record_key, status): damaged, missing or extra leaves of the replica, found from the roots downwards."""
-    if len(primary.levels) != len(replica.levels):
+    """(record_key, status, start, length): damaged, missing or extra leaves of the replica, found from the roots downwards, with
+    their range of offsets in their volume of the primary (of the replica, where they are extra)."""
+    if primary.height != replica.height:
         raise ValueError("the trees must have one height")
+    none = F.array().cast(KIDS)
     suspects: DataFrame | None = None
-    for h in range(len(primary.levels) - 1, -1, -1):
-        ours, theirs = (t.levels[h].select("node", "hash") for t in (primary, replica))
+    for h in range(primary.height, 0, -1):
+        ours, theirs = primary.level(h), replica.level(h)
         if suspects is not None:
-            below = F.lit(0).cast("bigint") if h == len(primary.levels) - 2 else F.shiftright("node", FAN_BITS)
-            ours, theirs = (x.withColumn("up", below).join(suspects, "up", "left_semi").drop("up") for x in (ours, theirs))
-        both = ours.withColumnRenamed("hash", "a").join(theirs.withColumnRenamed("hash", "b"), "node", "full_outer")
-        differ = cut(both.where(~F.col("a").eqNullSafe(F.col("b"))))
-        suspects = differ.select(F.col("node").alias("up"))
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("damaged")
-    return differ.select(F.col("node").alias("record_key"), status.alias("status"))
+            # At most PARTS numbers.
+            read = [[r[0] for r in suspects.select(_part(h, t.parts)).distinct().collect()] for t in (primary, replica)]
+            ours, theirs = (x.where(F.col("part").isin(parts)).join(suspects.select("node"), "node", "left_semi") for x, parts in zip((ours, theirs), read, strict=True))
+        both = ours.select("node", F.col("hash").alias("a"), F.col("kids").alias("ours")).join(theirs.select("node", F.col("hash").alias("b"), F.col("kids").alias("theirs")), "node", "full_outer")
+        both = both.where(~F.col("a").eqNullSafe(F.col("b"))).select("node", F.coalesce("ours", none).alias("ours"), F.coalesce("theirs", none).alias("theirs"))
+        # Offsets begin anew at every volume, and the children of the top node are the first of theirs.
+        inside = h <= VOLUME_LEVEL and h < primary.height
+        both = both.join(suspects.select("node", "start", "their_start"), "node") if inside and h < VOLUME_LEVEL else both.withColumns({c: F.lit(0).cast("bigint") for c in ("start", "their_start")})
+        kid = F.explode(F.expr("array_distinct(concat(transform(ours, x -> x.node), transform(theirs, x -> x.node)))"))
+        kids = both.select(kid.alias("kid"), "ours", "theirs", "start", "their_start").select("kid", "start", "their_start", *[F.expr(f"get(filter({c}, x -> x.node = kid), 0)").alias(c) for c in ("ours", "theirs")])
+        found = kids.where(~F.col("ours.hash").eqNullSafe(F.col("theirs.hash")))
+        begin = lambda base, side: (F.col(base) + F.col(f"{side}.start") if inside else F.lit(0).cast("bigint")).alias(base)  # noqa: B023, E731
+        suspects = cut(found.select(
+            F.col("kid").alias("node"), begin("start", "ours"), begin("their_start", "theirs"), F.coalesce("ours.length", "theirs.length").alias("length"),
+            F.col("ours.hash").isNull().alias("extra"), F.col("theirs.hash").isNull().alias("missing"),
+        ))
+    status = F.when(F.col("missing"), "missing").when(F.col("extra"), "extra").otherwise("damaged")
+    return suspects.select(F.col("node").alias("record_key"), status.alias("status"), F.coalesce("start", "their_start").alias("start"), "length")
 
 
 def placed(leaf_level: DataFrame) -> DataFrame:
@@ -119,8 +165,13 @@ def fixity(pages: DataFrame, copy: DataFrame) -> DataFrame:
     first, second = cut(leaves(records(pages))), cut(leaves(records(copy)))
     height = height_of(first, second)
     ours, theirs = _above(first, height), _above(second, height)
-    found = audit(ours, theirs)
-    intact = placed(first).join(found.where("status != 'extra'"), F.col("node") == F.col("record_key"), "left")
+    try:
+        found = audit(ours, theirs)  # its result is a checkpoint of its own
+    finally:
+        ours.close()
+        theirs.close()
+    lost = found.where("status != 'extra'").select("record_key", "status")
+    intact = placed(first).join(lost, F.col("node") == F.col("record_key"), "left")
     known = intact.select(F.col("node").alias("record_key"), "volume", "start", "length", "n", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
     extra = found.where("status = 'extra'").select(
         "record_key", F.shiftright("record_key", FAN_BITS * VOLUME_LEVEL).alias("volume"), *[F.lit(None).cast(t).alias(c) for c, t in (("start", "bigint"), ("length", "bigint"), ("n", "bigint"), ("sha256", "string"))], "status"

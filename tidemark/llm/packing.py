@@ -17,6 +17,7 @@ as often as they occur; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -43,10 +44,26 @@ PIECES = (
 )
 
 
+# How a tokenizer file must prepare texts for the way by chunks.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def goes_by_chunks(spec: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and closes words as the way by chunks takes for granted."""
+    file = json.loads(spec)
+    return (
+        file.get("normalizer") == _NORMALIZER and file.get("pre_tokenizer") == _PRE_TOKENIZER and file.get("post_processor") is None and file["model"]["type"] == "BPE"
+        and file["model"].get("end_of_word_suffix") == "</w>" and not file["model"].get("dropout") and all(t["content"].startswith("<|") and not t["normalized"] for t in file.get("added_tokens", ()))
+    )
+
+
 class WordTokenizer:
     """The ids that a ``tokenizers`` file gives, with the ids of chunks between blanks kept for the next time.
 
     The file's pre-tokeniser drops white space and never joins text across it, so a text's ids are those of its chunks.
+    Files that do otherwise (``goes_by_chunks``) are left to the library, text by text.
     Chunks of plain letters, with or without marks behind them, are sent many at a time to the file's model; all
     others go through its whole pipeline. Texts that could hold special tokens are encoded whole.
     """
@@ -55,6 +72,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(spec)
+        self.by_chunks = goes_by_chunks(spec)
         self.letters = Tokenizer.from_str(spec)
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -102,6 +120,8 @@ class WordTokenizer:
         return low.replace("\n", " ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_chunks:
+            return [np.asarray(e.ids, self.kind) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         special = {i for i, t in enumerate(texts) if "<|" in t}
         chunks = pc.split_pattern(pa.array(["" if i in special else self._lowered(t) for i, t in enumerate(texts)], pa.large_string()), " ")
         coded = chunks.values.dictionary_encode()

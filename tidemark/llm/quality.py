@@ -9,8 +9,10 @@ each get their own ledger row; a null doc_id is carried; other columns of the in
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -71,22 +73,30 @@ _ODD = np.random.default_rng(20240115).integers(1, 2**63, WINDOW, dtype=np.uint6
 
 
 def repeat_words(words: list[bytes]) -> int:
-    """Words that lie in an 8-word window found twice or more, the first find included (64-bit window hashes)."""
+    """Words that lie in an 8-word window found twice or more, the first find included. Windows meet by hash, and are compared."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    ids = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
     rolled = np.zeros(n, np.uint64)
     for j in range(WINDOW):
-        rolled += (ids[j : j + n] ^ (ids[j : j + n] >> np.uint64(29))) * _ODD[j]
+        rolled += mixed[j : j + n] * _ODD[j]
     order = np.argsort(rolled, kind="stable")
     ranked = rolled[order]
     same = ranked[1:] == ranked[:-1]
     if not same.any():
         return 0
+    windows = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
+    a, b = order[1:][same], order[:-1][same]
     again = np.zeros(n, bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
+    if (windows[a] == windows[b]).all():
+        again[a] = again[b] = True
+    else:  # different windows share a hash
+        _, slot, times = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
+        again = times[slot.ravel()] > 1
     edge = np.zeros(len(words) + 1, np.int64)
     at = np.flatnonzero(again)
     np.add.at(edge, at, 1)
@@ -94,6 +104,18 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
+def cases(text: str) -> tuple[int, int]:
+    """How many characters are capital letters (Lu), and small ones (Ll)."""
+    if text.isascii():
+        return len(text) - len(text.translate(_UPPER)), len(text) - len(text.translate(_LOWER))
+    upper = lower = 0
+    for c, n in Counter(text).items():
+        kind = category(c)
+        upper += n * (kind == "Lu")
+        lower += n * (kind == "Ll")
+    return upper, lower
+
+
 def measure(text: str) -> tuple[int, ...]:
     """The measurements of one text, in the order of MEASURES."""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes.split() cuts at exactly the six white-space bytes
@@ -106,8 +128,7 @@ def measure(text: str) -> tuple[int, ...]:
                 dup += 1
             else:
                 seen.add(line)
-    upper = sum(map(str.isupper, text)) if not text.isascii() else len(text) - len(text.translate(_UPPER))
-    lower = sum(map(str.islower, text)) if not text.isascii() else len(text) - len(text.translate(_LOWER))
+    upper, lower = cases(text)
     return (
         len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), lines, dup, repeat_words(words),
         upper, lower, text.count("!"), sum(map(bytes.__eq__, words, words[1:])),
@@ -171,6 +192,33 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each version of the policy keeps, from one ledger."""
+    entries = ledger(table(spark, sf_dir, "documents")).select("failures")
+    kept = [F.count_if(F.col("failures").bitwiseAND(F.lit(mask(p))) == 0).alias(p) for p in POLICIES]
+    whole = entries.agg(F.count("*").alias("docs"), *kept)
+    return whole.select(F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("kept"), "docs") for p in POLICIES])).alias("r")).select("r.*")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(ledger(table(spark, sf_dir, "documents")))
+
+
+def oracle_policies() -> str:
+    each = " UNION ALL ".join(f"SELECT '{p}' AS policy, count(*) FILTER ((failures & {mask(p)}) = 0) AS kept, count(*) AS docs FROM q" for p in POLICIES)
+    return f"WITH q AS ({oracle()}) {each}"
+
+
+def oracle_ablation() -> str:
+    whole, by = mask(CURRENT), {r.name: 1 << r.bit for r in RULES}
+    each = " UNION ALL ".join(
+        f"SELECT '{n}' AS rule, CAST(count(*) FILTER ((failures & {by[n]}) <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER ((failures & {whole}) = {by[n]}) AS BIGINT) AS failed_alone,"
+        f" CAST(count(*) FILTER ((failures & {whole & ~by[n]}) = 0) AS BIGINT) AS kept_without FROM q"
+        for n in POLICIES[CURRENT]
+    )
+    return f"WITH q AS ({oracle()}) {each}"
+
+
 def oracle() -> str:
     space = r"[^ \t\n\x0B\f\r]+"
     fails = " | ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES)

@@ -133,7 +133,7 @@ def split_urls(pages: DataFrame) -> DataFrame:
     )
 
 
-def _pass(compiled: list):
+def _pass(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -149,7 +149,7 @@ def _pass(compiled: list):
     def swept(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         hosts, paths, rule, verdict = (t.column(k).to_pylist() for k in ("host", "path", "rule", "verdict"))
-        found = sweep([reversed_host(h) for h in hosts], paths, compiled)
+        found = sweep([reversed_host(h) for h in hosts], paths, sent.value)
         for i, hit in enumerate(found):
             if hit and (rule[i] is None or len(hit[0]) > len(rule[i]) or (hit[0] == rule[i] and hit[1] == "block")):
                 rule[i], verdict[i] = hit
@@ -161,18 +161,21 @@ def _pass(compiled: list):
     return run
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = DEFAULT, per_pass: int = RULES_PER_PASS) -> DataFrame:
-    """Every url with the longest rule that fits it, and that rule's verdict or the default."""
-    ship(pages.sparkSession)
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame, default: str = DEFAULT, per_pass: int = RULES_PER_PASS) -> DataFrame:
+    """Every url with the longest rule that fits it, and that rule's verdict or the default. Rules may be a frame (verdict, text): they
+    come to the driver a chunk at a time, and each chunk of ``per_pass`` is broadcast for a pass without a shuffle."""
+    spark = ship(pages.sparkSession)
     urls = split_urls(pages).select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    if isinstance(rules, DataFrame):
+        rules = ((r.verdict, r.text) for r in rules.select("verdict", "text").toLocalIterator())
     chunk: list[tuple[str, str]] = []
     for rule in rules:
         chunk.append(rule)
         if len(chunk) == per_pass:
-            urls = urls.mapInArrow(_pass(compile_rules(chunk)), urls.schema)
+            urls = urls.mapInArrow(_pass(spark.sparkContext.broadcast(compile_rules(chunk))), urls.schema)
             chunk = []
     if chunk:
-        urls = urls.mapInArrow(_pass(compile_rules(chunk)), urls.schema)
+        urls = urls.mapInArrow(_pass(spark.sparkContext.broadcast(compile_rules(chunk))), urls.schema)
     return urls.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
