@@ -11,8 +11,8 @@ The number of fingerprints follows from the similarity: at the threshold itself
 ``MISS``, by the formula for large sets, and more similar ones far less (``plan``). Bands get wider with the logarithm of the
 number of texts, so that buckets stay of one size, and more fingerprints then keep the probability.
 
-Exact copies are one text from the start. Buckets and groups above a bound are split into chunks, and each pair of chunks is a
-task. Texts stay where they are: what is joined with them is a list of ids, broadcast up to ``BROADCAST_IDS``.
+Exact copies are one text from the start. Buckets above a bound are split into chunks, and each pair of chunks is a task; large
+groups of candidates are confirmed in chunks first, and then only beyond their largest component. Texts stay where they are: what is joined with them is a list of ids, broadcast up to ``BROADCAST_IDS``.
 
 Defined cases are those of ``simhash``: a null text is an empty one, texts without a word are alike, a text of fewer than
 five words is one shingle; rows of one doc_id are one document; an empty table gives none.
@@ -176,19 +176,43 @@ def candidates(codes: DataFrame, n: int, how: Plan) -> DataFrame:
     return stars_in_buckets(routed, n * how.tables * how.bands, DISTANCE, CHECK)
 
 
+def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that keep the links within each bucket of rows (fp, bucket) connected."""
+    buckets = rows.join(sets, "fp").select("bucket", "fp", "hashes")
+    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a bigint, b bigint")
+
+
 def similar_edges(edges: DataFrame, coded: DataFrame) -> DataFrame:
-    """Edges (a, b) that keep all links within groups of candidates connected; ``coded`` has the texts (fp, text)."""
+    """Edges (a, b) that keep all links within groups of candidates connected; ``coded`` has the texts (fp, text).
+
+    A group of up to CHUNK texts is one bucket. Larger ones are dealt into chunks twice, each time anew, which connects what is
+    similar throughout. What is left is to test the texts outside a group's largest component against all of the group: their chunks
+    and the others meet in pairs, but no two chunks of the largest component do.
+    """
     placed = stars(edges)
-    members = placed.unionAll(placed.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(0).cast("int")
-    # A text of chunk i goes to the pairs (i, j) of all j; a pair's bucket holds two chunks.
-    spread = members.join(sizes, "root").select("node", "root", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
-    spread = cut(spread.select(F.col("node").alias("fp"), F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("bucket")))
-    texts = with_ids(coded.select("fp", "text"), spread.select("fp").distinct(), "fp").dropDuplicates(["fp"])
-    sets = texts.mapInArrow(_sets, "fp bigint, hashes binary")
-    buckets = spread.join(sets, "fp").select("bucket", "fp", "hashes")
-    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a bigint, b bigint")
+    members = placed.unionAll(placed.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    members = cut(members.join(sizes, "root"))
+    texts = with_ids(coded.select("fp", "text"), members.select("fp").distinct(), "fp").dropDuplicates(["fp"])
+    sets = cut(texts.mapInArrow(_sets, "fp bigint, hashes binary"))
+
+    def dealt(rows: DataFrame, turn: int) -> DataFrame:
+        return rows.select("fp", F.xxhash64("root", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("chunks")), F.lit(turn)).alias("bucket"))
+
+    large = members.where("chunks > 1")
+    found = cut(_linked(dealt(members, 0).unionAll(dealt(large, 1)), sets))
+    if large.isEmpty():
+        return found
+    known = stars(found)
+    own = cut(large.join(known.withColumnRenamed("root", "to"), F.col("fp") == F.col("node"), "left").select("fp", "root", F.coalesce("to", "fp").alias("component")))
+    parts = own.groupBy("root", "component").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    counted = parts.where("n > most").select("root", "largest", F.ceil(F.col("most") / CHUNK).cast("int").alias("inner"), F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int").alias("outer"))
+    rows = own.join(counted, "root").withColumn("inside", F.col("component") == F.col("largest"))
+    chunk = F.when(F.col("inside"), F.pmod(F.xxhash64("fp"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("fp"), F.col("outer"))).cast("int")
+    # Chunks of the largest component come first: one of them meets the outer ones, an outer one meets all.
+    meets = F.when(F.col("inside"), F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("inner") + F.col("outer") - 1))
+    pairs = rows.select("fp", "root", chunk.alias("i"), F.explode(meets).alias("j"))
+    return found.unionAll(_linked(pairs.select("fp", F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j"), F.lit("rest")).alias("bucket")), sets))
 
 
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
