@@ -247,6 +247,18 @@ def test_components_over_chains_and_hot_buckets(spark, monkeypatch, chunk, agree
     assert [found[int(c)] for c in codes.view(np.int64)] == [least[r] for r in roots]
 
 
+def test_components_of_odd_edges(spark):
+    rng = random.Random(4)
+    path = list(range(-40, 41))
+    rng.shuffle(path)
+    edges = [*zip(path, path[1:]), (7, 7), (None, 3), (1 << 62, 100), (100, 1 << 62), (100, 101), (100, 101), (-(1 << 63), (1 << 63) - 1), (500, None)]  # noqa: B905
+    found = {r.node: r.root for r in components.stars(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {**{i: -40 for i in range(-39, 41)}, 101: 100, 1 << 62: 100, (1 << 63) - 1: -(1 << 63)}
+    assert components.stars(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    star = spark.range(1, 3000).selectExpr("id AS a", "CAST(0 AS bigint) AS b")
+    assert components.stars(star).where("root = 0").count() == 2999
+
+
 def test_more_bands_agree_as_the_corpus_grows():
     assert [simhash.agreement(10**k) for k in (3, 6, 8, 9, 11)] == [1, 1, 2, 2, 3]
     for agree in (1, 2, 3, 4):  # whichever 4 bits differ, so many bands are whole
@@ -807,7 +819,8 @@ def test_shared_counts_are_those_of_all_words(spark):
     words = toxicity.vocabulary(docs)
     assert {bytes(r.word) for r in words.collect()} == {b"the", b"cat", b"sat", b"dog"}
     chosen = docs.where("doc_id = 2")
-    grams, chances = toxicity.shared_chances(toxicity.shared_counts(words), chosen)
+    rows = sorted(map(tuple, toxicity.shared_chances(toxicity.shared_counts(words), chosen).collect()))
+    grams, chances = np.array([g for g, _ in rows], np.uint64), np.array([c for _, c in rows])
     want = shared_of([b"the", b"cat", b"sat", b"dog"])
     mine = shared_of([b"the", b"dog"])
     want_grams, want_chances = as_arrays({g: c for g, c in want.items() if g in mine})

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds, each cut by a checkpoint."""
+"""Connected components by alternating large-star and small-star rounds, each cut by a checkpoint.
+
+Defined cases: edges in either direction, loops and repeated edges are one or none; an edge with a null end is none; no
+edges give no rows; every bigint is a node like any other.
+"""
 
 from __future__ import annotations
 

@@ -281,17 +281,13 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(key & _MASK[SHARED]).astype(np.int64))], names=["gram"])
 
 
-def shared_chances(counts: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, chances) of the shared order, for the grams of the chosen rows: the join leaves at most one row per byte of the
-    bounded sample, which is what the driver gets."""
+def shared_chances(counts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(gram, chance) of the shared order, for the grams of the chosen rows: at most one row per byte of the bounded sample."""
     context = F.shiftright("gram", 8).alias("context")
     totals = counts.groupBy(context).agg(F.sum("n").alias("total"))
     needed = chosen.select("text").mapInArrow(_needed, "gram bigint").distinct()
-    found = counts.join(needed, "gram", "left_semi").withColumn("context", context).join(totals, "context").select("gram", "n", "total").toArrow()
-    grams = found.column("gram").to_numpy().astype(np.uint64)
-    order = np.argsort(grams)
-    n, total = (found.column(c).to_numpy().astype(np.float64)[order] for c in ("n", "total"))
-    return grams[order], chance(n, total)
+    found = counts.join(needed, "gram", "left_semi").withColumn("context", context).join(totals, "context")
+    return found.select("gram", chance(F.col("n"), F.col("total")).cast("double").alias("chance"))
 
 
 def class_words(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
@@ -316,27 +312,39 @@ def within(rows: list[tuple[str, int]], chars: int) -> list[tuple[str, int]]:
     return out
 
 
-def _trained(shared, chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = within([r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], chars)
-        model = train(known, shared.value)
+def _trained(chars: int):
+    def run(rows: pa.Table, chances: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("turn", "ascending"), ("text", "ascending")])
+        known = within(list(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True)), chars)
+        chances = chances.sort_by("gram")
+        model = train(known, (chances.column("gram").to_numpy().astype(np.uint64), chances.column("chance").to_numpy()))
+        out = pa.table([pa.array([] if model is None else [pickle.dumps(model)], pa.binary())], names=["model"])
         trim()
-        if model is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        return out
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """None if a class has no example. The bounded sample is one task's; the driver sees the model and the sample's chances."""
-    spark = ship(docs.sparkSession)
+@dataclass(frozen=True)
+class Fitted:
+    """A model as bytes: the driver only hands it on."""
+
+    blob: bytes
+
+    def load(self) -> Model:
+        return pickle.loads(self.blob)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Fitted | None:
+    """None if a class has no example. The bounded sample and its chances are one task's; the driver gets the model only."""
+    ship(docs.sparkSession)
     chosen = cut(sample(docs, labels, rows))
     if chosen.select("toxic").distinct().count() < 2:
         return None
     chances = shared_chances(shared_counts(cut(vocabulary(docs))), chosen)
-    shared = spark.sparkContext.broadcast(chances)
-    found = chosen.coalesce(1).sortWithinPartitions("turn", "text").mapInArrow(_trained(shared, chars), "model binary").collect()
-    return pickle.loads(found[0].model) if found else None
+    one = F.lit(0).alias("one")
+    found = chosen.select("turn", "text", "toxic", one).groupBy("one").cogroup(chances.select("gram", "chance", one).groupBy("one")).applyInArrow(_trained(chars), "model binary").collect()
+    return Fitted(bytes(found[0].model)) if found else None
 
 
 def train(known: list[tuple[str, int]], counts: tuple[np.ndarray, np.ndarray]) -> Model | None:
@@ -358,19 +366,19 @@ def train(known: list[tuple[str, int]], counts: tuple[np.ndarray, np.ndarray]) -
     return Model(orders_of(known), _logistic(x, np.array([y for _, y in known], float)))
 
 
-_GAINS: dict[int, dict[bytes, float]] = {}
+_KEPT: dict[int, tuple[Model, dict[bytes, float]]] = {}
 
 
-def _scored(model, text_at: int, names: list[str]):
+def _scored(sent, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("toxicity", _GAINS)
-        m: Model = model.value
-        if model.id not in _GAINS:
-            _GAINS.clear()
-            _GAINS[model.id] = {}
+        claim("toxicity", _KEPT)
+        if sent.id not in _KEPT:
+            _KEPT.clear()
+            _KEPT[sent.id] = (pickle.loads(sent.value), {})
+        model, gains = _KEPT[sent.id]
         for batch in batches:
             texts = batch.column(text_at).fill_null("")
-            found = [score(evidence(part, m.orders, _GAINS[model.id]), m) for _, part in slices(texts, texts, BATCH_CHARS)]
+            found = [score(evidence(part, model.orders, gains), model) for _, part in slices(texts, texts, BATCH_CHARS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*names, "score"])
 
     return run
@@ -381,7 +389,7 @@ def score(x: np.ndarray, model: Model) -> np.ndarray:
     return np.where((x == 0).all(axis=1), np.minimum(out, THRESHOLD / 2), out)
 
 
-class _Kept:
+class _Sent:
     """A broadcast and a number that names it in the workers' caches."""
 
     def __init__(self, broadcast):
@@ -398,13 +406,13 @@ class _Kept:
         return self.broadcast.value
 
 
-def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Fitted | None) -> DataFrame:
     """The rows of docs with ``score``, which replaces a column of that name; the others keep their values."""
     docs = without(docs, "score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     spark = ship(docs.sparkSession)
-    sent = _Kept(spark.sparkContext.broadcast(model))
+    sent = _Sent(spark.sparkContext.broadcast(model.blob))
     plain = docs.withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     return plain.mapInArrow(_scored(sent, plain.columns.index("text"), plain.columns), schema)
