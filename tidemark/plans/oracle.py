@@ -105,6 +105,9 @@ ORACLES = {
         ("kv_store_live", "kv_store_live_small", "kv_store_late", "kv_store_reopened", "kv_store_cached", "kv_store_compact_all", "kv_stream_apply", "kv_follower_late", "kv_follower_rebootstrap"),
         f"{_ALL} {_LIVE}",
     ),
+    "kv_store_old_log": f"{_ALL} SELECT key, seq, value, CAST(0 AS BIGINT) AS expire_at FROM snap WHERE value IS NOT NULL",
+    "kv_store_retained": f"{_ALL} SELECT key, seq, value, expire_at, {PARTS - 1} AS given_up, {PARTS - 1} AS deleted FROM live",
+    "kv_follower_snapshot": f"{_ALL}{_FLUSHED} SELECT key, seq, value, expire_at, true AS required, (SELECT max(seq) FROM log) AS last_seq FROM flushed WHERE part < {PARTS - 1}",
     "kv_store_get": f"""{_ALL}, g(pos, key) AS (VALUES {_numbered(GETS)})
         SELECT pos, g.key AS key, CASE WHEN {_SHOWN} THEN value END AS value, CASE WHEN {_SHOWN} THEN expire_at END AS expire_at,
                CASE WHEN snap.key IS NULL THEN 'Key not found' WHEN value IS NULL THEN 'Key deleted' WHEN NOT ({_IS_LIVE}) THEN 'Key expired' END AS error
