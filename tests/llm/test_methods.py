@@ -247,7 +247,9 @@ def test_components_over_chains_and_hot_buckets(spark, monkeypatch, chunk, agree
     assert [found[int(c)] for c in codes.view(np.int64)] == [least[r] for r in roots]
 
 
-def test_components_of_odd_edges(spark):
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_components_of_odd_edges(spark, monkeypatch, bound):
+    monkeypatch.setattr(components, "ONE_TASK", bound)
     rng = random.Random(4)
     path = list(range(-40, 41))
     rng.shuffle(path)

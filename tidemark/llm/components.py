@@ -1,15 +1,54 @@
 """Connected components by alternating large-star and small-star rounds, each cut by a checkpoint.
 
+Up to ``ONE_TASK`` distinct edges, whose size is known and bounded, are joined by one task in place of some dozens of jobs.
+
 Defined cases: edges in either direction, loops and repeated edges are one or none; an edge with a null end is none; no
 edges give no rows; every bigint is a node like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, ship
+
+ONE_TASK = 1 << 20  # edges of 16 bytes
+
+
+class Forest:
+    """Union by least index, for whole arrays of links at a time."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        return self.parent
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            roots = self.roots()
+            a, b = roots[a], roots[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    ends = [np.concatenate([c[k] for c in columns]) if columns else np.zeros(0, np.int64) for k in (0, 1)]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.link(*np.split(at, 2))
+    roots = nodes[forest.roots()]  # nodes ascend, so the least index is the least node
+    some = roots != nodes
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(roots[some])], names=["node", "root"])
 
 
 def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -18,8 +57,10 @@ def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Minima are aggregates that combine before the shuffle; the joins that hand them back are plain equi-joins, whose hot
     nodes adaptive execution splits. Every round shrinks the distance to the root; the result no longer changes then.
     """
-    now = _directed(edges)
-    now = cut(now)
+    now = cut(_directed(edges))
+    if now.count() <= ONE_TASK:
+        ship(now.sparkSession)
+        return cut(now.coalesce(1).mapInArrow(_joined, "node bigint, root bigint"))
     before = None
     for _ in range(most_rounds):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

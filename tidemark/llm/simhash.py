@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, documents, ship, shuffle_partitions, table
-from tidemark.llm.components import stars
+from tidemark.llm.components import Forest, stars
 
 BITS = 64
 DISTANCE = 4
@@ -99,26 +99,6 @@ def agreement(n: int, distance: int = DISTANCE) -> int:
     return agree
 
 
-class _Forest:
-    """Union by least index, for whole arrays of links at a time."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(up := self.parent[self.parent], self.parent):
-            self.parent = up
-        return self.parent
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            roots = self.roots()
-            a, b = roots[a], roots[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def _nodes(bucket: np.ndarray, codes: np.ndarray, roots: np.ndarray):
     """Levels of (first child, end, bucket, shared mask, shared pattern, the one root of all below or -1); level 0 are the codes."""
     n = len(codes)
@@ -203,7 +183,7 @@ def _stars_of(distance: int, check_distance: int):
             near = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
             return a[near], b[near]
 
-        forest = _Forest(len(codes))
+        forest = Forest(len(codes))
         beside = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count(codes[1:] ^ codes[:-1]) <= distance))
         forest.link(*checked(beside, beside + 1))
         for a, b in links(bucket, codes, distance, forest.roots().copy()):
