@@ -339,6 +339,51 @@ def test_no_bucket_grows_with_the_blocks(spark, monkeypatch, blocks):
     assert {r.block for r in rows} == set(range(blocks)) and max(int(r.blob) for r in rows) <= 3 * 8
 
 
+def test_a_group_is_answered_in_any_order_of_its_rows():
+    """Two shuffles need not bring the rows of a group in one order."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    docs = {i: t.encode() for i, t in tricky().items()}
+    rows = []
+    for k, own in enumerate([sorted(docs)[i::9] for i in range(9)]):
+        text, ends = np.frombuffer(b"".join(docs[i] for i in own), np.uint8), np.cumsum([len(docs[i]) for i in own])
+        block = repeats.Block(None, text, ends, np.array(own))
+        p = repeats.parse(text, ends)
+        e = repeats._entries(block, p, np.ones(len(p.begin), bool), 1)
+        begin, size = p.begin[e.sample], p.last[e.sample] - p.begin[e.sample] + repeats.LENGTH
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(begin, size, strict=True)])
+        rows.append((0, k, 3, repeats._squeeze(text[at], size.astype(np.uint16), (p.at[e.sample] - begin).astype(np.uint16), e.first)))
+    sent = pa.table([pa.array([r[c] for r in rows]) for c in range(4)], names=["bucket", "block", "above", "blob"])
+    direct = repeats._dictionary(sent)
+    out = repeats._fold_told(sent)
+    folded, noted = out if isinstance(out, tuple) else (out, sent)
+    order = list(range(9))
+    rng.shuffle(order)
+    handed = repeats._hand_down_told(noted.take(order), repeats._dictionary(folded))
+    by_block = lambda t: dict(zip(t.column("block").to_pylist(), t.column("blob").to_pylist(), strict=True))
+    assert by_block(handed) == by_block(direct)
+
+
+def test_blocks_with_one_phrase_do_not_make_it_hot(monkeypatch):
+    """A phrase that very many blocks have is one phrase, not as many as blocks; different ones do count."""
+    import pyarrow as pa
+
+    names = np.arange(1, 3, dtype=np.uint64) << np.uint64(40)
+    mixed = repeats._mixed(np.arange(6000, dtype=np.uint64))
+
+    def row(k):
+        phrases = np.array([mixed[0], mixed[2 * k], mixed[2 * k + 1]])
+        none = np.zeros(3, np.int64)
+        kinds = repeats._phrases_of(repeats.Parse(none, none, none, none, phrases), np.array([0, 1, 1]), 2)
+        return repeats._squeeze(np.diff(names, prepend=np.uint64(0)), np.packbits(np.zeros(2, bool)), kinds)
+
+    n = 3000
+    t = pa.table([pa.array([0] * n), pa.array(range(n)), pa.array([row(k) for k in range(n)], pa.binary())], names=["bucket", "block", "blob"])
+    shared, hot = repeats._unsqueeze(repeats._answer(t).column("blob")[7].as_py(), np.uint8, np.uint8)
+    assert np.unpackbits(shared, count=2).tolist() == [1, 1] and np.unpackbits(hot, count=2).tolist() == [0, 1]
+
+
 def test_hot_phrases_equal_brute_force(spark):
     """A form text with a number in it: one trigger, very many phrases."""
     form = "Dear reader, your very own number for this season is {} and nobody else in the whole wide world has the same one."

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +53,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds for what is planned inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, partitioned: bool = False) -> DataFrame:
+    """``cut``, after which the shuffles and checkpoints that only df stood on go from disk: Spark removes them when the driver has
+    collected their handles as garbage, which else may take as long as the job. A caller that keeps df, be it as an argument by keyword, keeps them too.
+    Rows that df has dealt to a number of partitions by a key can be joined by that key without being moved again."""
+    spark = df.sparkSession
+    if partitioned:
+        with setting(spark, "spark.sql.adaptive.enabled", "false"):  # an adaptive plan doesn't tell its partitioning
+            out = cut(df)
+    else:
+        out = cut(df)
+    del df
+    for _ in range(2):  # listeners hold the plan of the last query they were told of
+        spark.range(0, 1, 1, 1).collect()
+        time.sleep(0.2)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Take from disk what ``cut`` or ``settle`` has written for df, which nothing reads any more."""
+    remove(df.sparkSession, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for a table of one's own."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,8 @@ order of whole parse suffixes is needed: one entry per byte of the corpus, it wo
 
 Blocks, phrases and buckets are bounded whatever is repeated how often: a block sends a phrase once for all its documents, and
 beyond ``FAN`` blocks what they send is folded in groups of FAN first, level by level, and the answers come back the same
-way; so a passage of millions of copies reaches a bucket at most FAN times. Where a trigger has many different phrases, as in
+way; so a passage of millions of copies reaches a bucket at most FAN times. A group keeps no phrase of its blocks but their
+numbers in the folded dictionary, and what a step sent is gone from disk before the next one begins. Where a trigger has many different phrases, as in
 a form text around a number, its phrases are cut into their single windows, which go to buckets of their own by their bytes.
 
 Defined cases: a null text is an empty one; a null doc_id counts as 2^63 - 1, the largest; rows of one doc_id are one document
@@ -41,16 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import claim, cut, ship, table, trim, without
+from tidemark.llm.common import claim, discard, settle, shuffle_partitions, ship, table, trim, without
 
 LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 4 << 20
 SEGMENT_BYTES = 1 << 20
 PLACE_BITS = 28
-HOT_PHRASES = 1024  # of one trigger, over all blocks
+HOT_PHRASES = 1024  # different ones of one trigger, over all blocks, by the estimate of ``_hot``
 FAN = 1024  # blocks, or groups of them, that are folded into one
-MANY = 65_535
 LAST = (1 << 63) - 1  # the id of rows without one
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -167,12 +167,24 @@ def _triggers(block: Block, p: Parse) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return names, low != high, slot
 
 
+def _or_by(slot: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The values of each of n slots, of which each has some, joined bit by bit."""
+    order = np.argsort(slot, kind="stable")
+    counts = np.bincount(slot, minlength=n)
+    return np.bitwise_or.reduceat(values[order], np.cumsum(counts) - counts) if n else np.zeros(0, np.uint16)
+
+
 def _phrases_of(p: Parse, slot: np.ndarray, n: int) -> np.ndarray:
-    """How many different phrases each of n triggers has, up to MANY."""
-    order = np.lexsort((p.phrase, slot))
-    s, h = slot[order], p.phrase[order]
-    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]) if len(order) else np.zeros(0, bool)
-    return np.minimum(np.bincount(s[fresh], minlength=n), MANY).astype(np.uint16)
+    """A sketch of how many different phrases each of n triggers has: each phrase sets the bit of its hash's lowest one, so that a
+    phrase that many blocks have counts once when their sketches are joined (Flajolet and Martin)."""
+    low = np.minimum((p.phrase & (~p.phrase + np.uint64(1))) - np.uint64(1), np.uint64((1 << 15) - 1)) + np.uint64(1)
+    return _or_by(slot, low.astype(np.uint16), n)
+
+
+def _hot(sketches: np.ndarray) -> np.ndarray:
+    """Whether about HOT_PHRASES different phrases are in a sketch: its lowest bits are set."""
+    least = np.uint16((1 << min(15, int(np.ceil(np.log2(0.77351 * HOT_PHRASES))))) - 1)
+    return sketches & least == least
 
 
 def _split_hot(block: Block, p: Parse, shared: np.ndarray, hot: np.ndarray) -> tuple[Parse, np.ndarray]:
@@ -315,7 +327,7 @@ class _Asked:
     slot: np.ndarray  # the place of each sender's hashes among the distinct ones
     names: np.ndarray
     shared: np.ndarray  # whether two documents have it
-    kinds: np.ndarray  # phrases, counted by sender
+    kinds: np.ndarray  # sketches of their phrases
 
     @classmethod
     def read(cls, t: pa.Table) -> _Asked:
@@ -326,16 +338,15 @@ class _Asked:
         names, slot, times = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
         shared = times > 1
         shared[slot[several]] = True
-        return cls(sizes, slot, names, shared, np.bincount(slot, weights=np.concatenate([c[2] for c in columns]), minlength=len(names)))
+        return cls(sizes, slot, names, shared, _or_by(slot, np.concatenate([c[2] for c in columns]), len(names)))
 
-    def reply(self, t: pa.Table, shared: np.ndarray, hot: np.ndarray) -> pa.Table:
-        """A bit per hash of each sender, set if another document has it, and one set if it is hot."""
-        out, at = [], 0
-        for n in self.sizes:
-            own = self.slot[at : at + n]
-            out.append(_squeeze(np.packbits(shared[own]), np.packbits(hot[own])))
-            at += n
-        return _replies(t, out)
+    def slots(self) -> list[np.ndarray]:
+        return np.split(self.slot, np.cumsum(self.sizes)[:-1])
+
+
+def _told_asked(slot: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> bytes:
+    """A bit per hash of a sender, set if another document has it, and one set if it is hot."""
+    return _squeeze(np.packbits(shared[slot]), np.packbits(hot[slot]))
 
 
 def _replies(t: pa.Table, blobs: list[bytes]) -> pa.Table:
@@ -350,34 +361,50 @@ def _folded(t: pa.Table, blob: bytes) -> pa.Table:
 def _answer(t: pa.Table) -> pa.Table:
     """Step 1, in a bucket."""
     a = _Asked.read(t)
-    return a.reply(t, a.shared, a.shared & (a.kinds > HOT_PHRASES))
+    hot = a.shared & _hot(a.kinds)
+    return _replies(t, [_told_asked(slot, a.shared, hot) for slot in a.slots()])
 
 
-def _fold_asked(t: pa.Table) -> pa.Table:
+def _fold_asked(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The group's hashes, and for each sender the places of its own among them, which ascend."""
     a = _Asked.read(t)
-    return _folded(t, _squeeze(np.diff(a.names, prepend=np.uint64(0)), np.packbits(a.shared), np.minimum(a.kinds, MANY).astype(np.uint16)))
+    folded = _folded(t, _squeeze(np.diff(a.names, prepend=np.uint64(0)), np.packbits(a.shared), a.kinds))
+    return folded, _replies(t, [_squeeze(np.diff(slot, prepend=0).astype(np.uint32)) for slot in a.slots()])
 
 
 def _hand_down_asked(t: pa.Table, from_above: pa.Table) -> pa.Table:
-    a = _Asked.read(t)
-    shared, hot = (np.unpackbits(x, count=len(a.names)).astype(bool) for x in _unsqueeze(from_above.column("blob")[0].as_py(), np.uint8, np.uint8))
-    return a.reply(t, shared, hot)
+    slots = [np.cumsum(_unsqueeze(b, np.uint32)[0], dtype=np.int64) for b in t.column("blob").to_pylist()]
+    n = 1 + max((int(slot[-1]) for slot in slots if len(slot)), default=-1)
+    shared, hot = (np.unpackbits(x, count=n).astype(bool) for x in _unsqueeze(from_above.column("blob")[0].as_py(), np.uint8, np.uint8))
+    return _replies(t, [_told_asked(slot, shared, hot) for slot in slots])
 
 
 REPLY = "bucket bigint, block bigint, blob binary"
 
 
-def exchange(sent: DataFrame, n: int, answer, fold, hand_down) -> DataFrame:
+def exchange(sent: DataFrame, n: int, answer, fold, hand_down, held: list[DataFrame] | None = None) -> DataFrame:
     """(bucket, block, blob): the answer of each bucket to each of n senders. Beyond FAN senders, groups of them are folded
-    into one sender, who gets the bucket's answer and hands it down."""
+    into one sender, who gets the bucket's answer and hands it down. A fold gives the folded row, and may give rows to
+    hand down by in place of those that were sent: a second shuffle gives no promise of the first one's order, and these are small. What is on disk until the answers have been
+    read is added to ``held``."""
     if n <= FAN:
         return sent.groupBy("bucket").applyInArrow(answer, REPLY)
     groups = -(-n // FAN)
+
+    def folded_and_noted(t: pa.Table) -> pa.Table:
+        out = fold(t)
+        folded, noted = out if isinstance(out, tuple) else (out, t)
+        rows = [(folded, pa.nulls(1, pa.int64()), folded.column("block")), (noted, noted.column("block"), t.column("above"))]
+        return pa.concat_tables(pa.table([x.column("bucket"), block, above, x.column("blob").cast(pa.binary())], names=["bucket", "block", "above", "blob"]) for x, block, above in rows)
+
     # Even groups by hash; a group of twice the mean size is beyond chance.
-    sent = cut(sent.withColumn("above", F.pmod(F.xxhash64("block"), F.lit(groups))))
-    folded = cut(sent.groupBy("bucket", "above").applyInArrow(fold, REPLY))
-    replies = exchange(folded, groups, answer, fold, hand_down).withColumnRenamed("block", "above")
-    return sent.groupBy("bucket", "above").cogroup(replies.groupBy("bucket", "above")).applyInArrow(hand_down, REPLY)
+    grouped = sent.withColumn("above", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("bucket", "above")
+    both = settle(grouped.applyInArrow(folded_and_noted, "bucket bigint, block bigint, above bigint, blob binary"))
+    if held is not None:
+        held.append(both)
+    folded = both.where("block IS NULL").select("bucket", F.col("above").alias("block"), "blob")
+    replies = exchange(folded, groups, answer, fold, hand_down, held).withColumnRenamed("block", "above")
+    return both.where("block IS NOT NULL").groupBy("bucket", "above").cogroup(replies.groupBy("bucket", "above")).applyInArrow(hand_down, REPLY)
 
 
 def _told_of(block: Block, n: int, answers: dict[int, bytes]) -> tuple[Parse, Entries]:
@@ -476,18 +503,18 @@ class _Told:
         a = int(self.begin[i] + self.mark[i])
         return self.text[a : a + GRAM].tobytes()
 
-    def reply(self, t: pa.Table, state: np.ndarray, masks: np.ndarray) -> pa.Table:
-        """For each phrase of each sender 0 (no window is in a smaller document), 1 (all) or 2 (some), and a mask for each of the
-        last kind; ``state`` and ``masks`` are those of the dictionary's phrases against documents below their first."""
+    def numbers(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each sender, its phrases' places in the dictionary, and whether a smaller document than its own has them."""
         later = self.first[self.of] < self.doc
-        own_state = np.where(later, 1, state[self.of]).astype(np.uint8)
-        own_masks = masks[self.of]
-        out, at = [], 0
-        for n in self.counts:
-            own = own_state[at : at + n]
-            out.append(_squeeze(own, own_masks[at : at + n][own == 2]))
-            at += n
-        return _replies(t, out)
+        at = np.cumsum(self.counts)[:-1]
+        return list(zip(np.split(self.of, at), np.split(later, at), strict=True))
+
+
+def _told_phrases(of: np.ndarray, later: np.ndarray, state: np.ndarray, masks: np.ndarray) -> bytes:
+    """For each phrase of a sender 0 (no window is in a smaller document), 1 (all) or 2 (some), and a mask for each of the
+    last kind; ``state`` and ``masks`` are those of the dictionary's phrases against documents below their first."""
+    own = np.where(later, 1, state[of]).astype(np.uint8)
+    return _squeeze(own, masks[of[own == 2]])
 
 
 def _dictionary(t: pa.Table) -> pa.Table:
@@ -512,22 +539,27 @@ def _dictionary(t: pa.Table) -> pa.Table:
         masks[several] = np.bitwise_or.reduceat(again.astype(np.uint32) << place.astype(np.uint32), starts)
         full = masks[several] == (np.uint32(1) << windows.astype(np.uint32)) - np.uint32(1)
         state[several] = np.where(full, 1, np.where(masks[several] > 0, 2, 0))
-    return d.reply(t, state, masks)
+    return _replies(t, [_told_phrases(of, later, state, masks) for of, later in d.numbers()])
 
 
-def _fold_told(t: pa.Table) -> pa.Table:
+def _fold_told(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The group's dictionary, and for each sender its phrases' numbers in it."""
     d = _Told.read(t)
     begin, size = d.begin[d.sample], d.size[d.sample]
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return _folded(t, _squeeze(d.text[at], size.astype(np.uint16), d.mark[d.sample].astype(np.uint16), d.first))
+    folded = _folded(t, _squeeze(d.text[at], size.astype(np.uint16), d.mark[d.sample].astype(np.uint16), d.first))
+    return folded, _replies(t, [_squeeze(of.astype(np.uint32), np.packbits(later)) for of, later in d.numbers()])
 
 
 def _hand_down_told(t: pa.Table, from_above: pa.Table) -> pa.Table:
-    d = _Told.read(t)
     state, some = _unsqueeze(from_above.column("blob")[0].as_py(), np.uint8, np.uint32)
     masks = np.zeros(len(state), np.uint32)
     masks[state == 2] = some
-    return d.reply(t, state, masks)
+    out = []
+    for blob in t.column("blob").to_pylist():
+        of, later = _unsqueeze(blob, np.uint32, np.uint8)
+        out.append(_told_phrases(of, np.unpackbits(later, count=len(of)).astype(bool), state, masks))
+    return _replies(t, out)
 
 
 def removed(block: Block, p: Parse, e: Entries, replies: dict[int, bytes]) -> np.ndarray:
@@ -594,18 +626,23 @@ def mark_repeats(docs: DataFrame, id_name: str = "doc_id", text_name: str = "tex
     kept_text is the bytes that stay, as text; characters of which a removal left only a part are left out.
     """
     docs = without(docs, *[name for name, _ in RESULT[: 4 + with_kept]])
-    own = cut(blocks(docs, id_name, text_name, block_bytes))
+    own = settle(blocks(docs, id_name, text_name, block_bytes).repartition(shuffle_partitions(docs.sparkSession), "block"), True)
     n_blocks, total = own.agg(F.count("*"), F.sum("bytes")).first()
     n = buckets or bucket_count(total or 0)
     rows = own.select("block", "rows")
 
-    def by_block(replies: DataFrame, name: str) -> DataFrame:
-        return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(name))
+    def answered(sent: DataFrame, name: str, *how) -> DataFrame:
+        """(block, name): all that buckets answer to each block."""
+        held: list[DataFrame] = []
+        out = settle(exchange(sent, n_blocks, *how, held).groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(name)))
+        for frame in held:
+            discard(frame)
+        return out
 
-    shared = cut(by_block(exchange(rows.mapInArrow(_ask(id_name, text_name, n), REPLY), n_blocks, _answer, _fold_asked, _hand_down_asked), "shared"))
+    shared = answered(rows.mapInArrow(_ask(id_name, text_name, n), REPLY), "shared", _answer, _fold_asked, _hand_down_asked)
     known = rows.join(shared, "block", "left")
     sent = known.select("block", "rows", "shared").mapInArrow(_tell(id_name, text_name, n), REPLY)
-    told = by_block(exchange(sent, n_blocks, _dictionary, _fold_told, _hand_down_told), "told")
+    told = answered(sent, "told", _dictionary, _fold_told, _hand_down_told)
     schema = T.StructType([*docs.withColumns({id_name: F.col(id_name).cast("bigint"), text_name: F.col(text_name).cast("string")}).schema.fields, *[T.StructField(a, b) for a, b in RESULT[: 4 + with_kept]]])
     return known.join(told, "block", "left").select("rows", "shared", "told").mapInArrow(_mark(id_name, text_name, n, with_kept), schema)
 
