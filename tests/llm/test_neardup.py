@@ -1,6 +1,7 @@
 """The near-duplicate stage against brute force over exact five-word shingle sets."""
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -130,3 +131,16 @@ def test_beyond_the_bound_ids_are_joined_by_shuffle(spark, monkeypatch):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in neardup.keep_one(docs).collect()} == brute(rows)
+
+
+def test_the_driver_does_not_hold_what_finished_jobs_left(spark):
+    """Shuffles whose plans are garbage go as the stage goes on, not when the heap is full."""
+    words = [f"word{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[:39] + [f"end{i % 30}"]), "en", "x", 1) for i in range(200)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    neardup.tidy(spark)
+    time.sleep(1)
+    before = shuffles.size()
+    assert neardup.keep_one(docs).count() == 1
+    time.sleep(1)
+    assert shuffles.size() - before <= 18

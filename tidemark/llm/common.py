@@ -64,6 +64,13 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: the plans of finished jobs and, with their handles, shuffles and broadcasts. A driver
+    that runs dozens of jobs else fills its heap before it looks, and the heap's pages count whether they are used or not."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame, partitioned: bool = False) -> DataFrame:
     """``cut``, after which the shuffles and checkpoints that only df stood on go from disk: Spark removes them when the driver has
     collected their handles as garbage, which else may take as long as the job. A caller that keeps df, be it as an argument by keyword, keeps them too.
@@ -78,8 +85,7 @@ def settle(df: DataFrame, partitioned: bool = False) -> DataFrame:
     for _ in range(2):  # listeners hold the plan of the last query they were told of
         spark.range(0, 1, 1, 1).collect()
         time.sleep(0.2)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
     return out
 
 

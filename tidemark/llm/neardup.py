@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, fresh, ship, with_ids, without_ids
+from tidemark.llm.common import documents, fresh, ship, tidy, with_ids, without_ids
+from tidemark.llm.common import cut as kept
 from tidemark.llm.components import stars
 from tidemark.llm.simhash import BITS, smallest, stars_in_buckets
 
@@ -100,6 +101,13 @@ def fingerprints(hashes: np.ndarray, tables: int) -> np.ndarray:
     return np.packbits(2 * bits.ravel() > len(hashes), bitorder="little").view("<i8")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``common.cut``, with the driver tidied: this stage has some dozens of jobs, whose plans grow with the partitions."""
+    out = kept(df)
+    tidy(out.sparkSession)
+    return out
+
+
 def _sketch(tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
