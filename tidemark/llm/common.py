@@ -171,10 +171,13 @@ _CLAIMED: dict[str, dict] = {}
 
 
 def claim(name: str, cache: dict) -> dict:
-    """A worker's cache for one operator; those that other operators left in this worker are emptied first."""
-    for other, held in _CLAIMED.items():
-        if other != name:
-            held.clear()
+    """A worker's cache for one operator; those that other operators left in this worker are emptied first, and their memory is
+    given back."""
+    left = [held for other, held in _CLAIMED.items() if other != name and held]
+    for held in left:
+        held.clear()
+    if left:
+        trim()
     _CLAIMED[name] = cache
     return cache
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import claim, documents, ship, slices, table
+from tidemark.llm.common import claim, documents, ship, slices, table, trim
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
@@ -274,6 +274,7 @@ def _packed(spec, tiers: tuple[int, ...], with_ids: bool):
                 if held >= BLOCK_TOKENS:
                     yield block()
                     docs, ids, held = [], [], 0
+                    trim()
         if docs:
             yield block()
 
