@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +67,33 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 def tidy(spark: SparkSession) -> None:
     """Have the driver collect its garbage: the plans of finished jobs and, with their handles, shuffles and broadcasts. A driver
-    that runs dozens of jobs else fills its heap before it looks, and the heap's pages count whether they are used or not."""
+    that runs dozens of jobs else fills its heap before it looks, and the heap's pages count whether they are used or not. What its
+    compiler and its libraries have freed outside the heap goes back to the system, too."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> str:
+    """``trim`` for the driver's JVM, by its diagnostic command; what the command says, or nothing from a JVM that hasn't got it."""
+    sc = spark.sparkContext
+    lang, management = sc._jvm.java.lang, sc._jvm.javax.management
+
+    def array(kind, *values):
+        out = sc._gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    # The server's own class isn't open to reflection, its interface is.
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *map(lang.Class.forName, kinds)))
+    name = management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    try:
+        said = invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, name, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
+    except Py4JJavaError:
+        return ""
+    return str(said).strip()
 
 
 def settle(df: DataFrame, partitioned: bool = False) -> DataFrame:
