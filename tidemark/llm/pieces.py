@@ -145,9 +145,8 @@ class Pieces:
                 self.pairs, self.together, told = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(keys), bool)
             new = np.unique(keys[~told])
             found = list(map(self._stay_apart, (new // len(self.text)).tolist(), (new % len(self.text)).tolist()))
-            pairs = np.concatenate([self.pairs, new])
-            order = np.argsort(pairs)
-            self.pairs, self.together = pairs[order], np.concatenate([self.together, found])[order].astype(bool)
+            at = np.searchsorted(self.pairs, new)  # both are sorted: the new ones go between, and the table isn't sorted again
+            self.pairs, self.together = np.insert(self.pairs, at, new), np.insert(self.together, at, found)
             slot, told = self._told(keys)
         if len(keys):
             out[todo] = self.together[slot]
