@@ -57,3 +57,23 @@ def test_deletions_win_over_any_seq(spark, tmp_path):
         df = catalog.QUERIES[name](spark, str(tmp_path))
         theirs = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, df.collect()), key=repr) == sorted(theirs, key=repr)
+
+
+@pytest.fixture(scope="module")
+def long_log(tmp_path_factory):
+    """A log whose parts are larger than what a store flushes by itself."""
+    folder, con = tmp_path_factory.mktemp("long"), duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (props || repeat('x', 40000) AS props) FROM '{DATA}/events.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    return str(folder), con
+
+
+def equal_to_sql(spark, long_log, name):
+    folder, con = long_log
+    df = catalog.QUERIES[name](spark, folder)
+    theirs = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    return sorted(map(tuple, df.collect()), key=repr) == sorted(theirs, key=repr)
+
+
+def test_snapshot_of_a_long_log(spark, long_log):
+    assert equal_to_sql(spark, long_log, "kv_follower_snapshot")
