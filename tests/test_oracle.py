@@ -77,3 +77,8 @@ def equal_to_sql(spark, long_log, name):
 
 def test_snapshot_of_a_long_log(spark, long_log):
     assert equal_to_sql(spark, long_log, "kv_follower_snapshot")
+
+
+def test_giving_up_a_long_log(spark, long_log):
+    """The last part is open, so it isn't given up and its files stay."""
+    assert equal_to_sql(spark, long_log, "kv_store_retained")
