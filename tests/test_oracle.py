@@ -82,3 +82,10 @@ def test_snapshot_of_a_long_log(spark, long_log):
 def test_giving_up_a_long_log(spark, long_log):
     """The last part is open, so it isn't given up and its files stay."""
     assert equal_to_sql(spark, long_log, "kv_store_retained")
+
+
+@pytest.mark.parametrize("name", ("kv_follower_snapshot", "kv_store_expired_segment", "kv_store_metrics", "kv_store_segments"))
+def test_runs_of_several_files(spark, long_log, monkeypatch, name):
+    """A flush makes several files of a large run; it's one segment all the same."""
+    monkeypatch.setattr("tidemark.store.FILE_BYTES", 3_000)
+    assert equal_to_sql(spark, long_log, name)

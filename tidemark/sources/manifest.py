@@ -26,6 +26,11 @@ class Segment:
     min_seq: int
     max_seq: int
 
+    @property
+    def unit(self) -> str:
+        """What counts as one segment: on level 0 a whole run, however many files a flush has made of it; below, each file."""
+        return self.filename.split("/")[0] if self.level == 0 else self.filename
+
     def may_hold_key(self, key: str) -> bool:
         return self.min_key is not None and self.min_key.encode() <= key.encode() <= self.max_key.encode()
 

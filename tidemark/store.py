@@ -273,10 +273,11 @@ class KVStore:
 
     def _chosen(self, keep, now: int | None = None) -> list[str]:
         """Files that a read needs; of a read at ``now``, not those with nothing but expired rows."""
-        chosen = [s.filename for s in self.manifest.segments if keep(s) and (now is None or not self.manifest.forgettable(s, now))]
-        self.counters["segment_searches"] += len(chosen)
-        self.counters["segments_pruned"] += len(self.manifest.segments) - len(chosen)
-        return chosen
+        chosen = [s for s in self.manifest.segments if keep(s) and (now is None or not self.manifest.forgettable(s, now))]
+        searched = len({s.unit for s in chosen})
+        self.counters["segment_searches"] += searched
+        self.counters["segments_pruned"] += len({s.unit for s in self.manifest.segments}) - searched
+        return [s.filename for s in chosen]
 
     def _tail(self) -> DataFrame:
         return segments.read(self.spark, self.folder, [p.name for p in self.manifest.open_parts()])
