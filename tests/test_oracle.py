@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from tidemark.plans import catalog
+from tidemark.plans.fixtures import NOW, log_now
+from tidemark.store import KVStore
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "customer events documents lineitem orders".split()
@@ -89,3 +91,28 @@ def test_runs_of_several_files(spark, long_log, monkeypatch, name):
     """A flush makes several files of a large run; it's one segment all the same."""
     monkeypatch.setattr("tidemark.store.FILE_BYTES", 3_000)
     assert equal_to_sql(spark, long_log, name)
+
+
+@pytest.mark.parametrize("name", ("kv_store_batch_delete", "kv_store_delete"))
+def test_profiles_share_what_they_store(spark, monkeypatch, name):
+    """The log is taken once for all profiles."""
+    taken, ingest = [], KVStore.ingest
+
+    def counted(self, rows, now=None):
+        ingest(self, rows, now)
+        taken.append(self.manifest.parts[-1].rows)
+
+    monkeypatch.setattr(KVStore, "ingest", counted)
+    catalog.QUERIES[name](spark, DATA)
+    whole = log_now(spark, DATA).count()
+    assert whole <= sum(taken) < 2 * whole
+
+
+def test_profiles_store_the_same(spark, tmp_path):
+    def stored(profile):
+        store = KVStore(spark, str(tmp_path / profile), profile, memory_bytes=1000)
+        store.ingest(log_now(spark, DATA), NOW)
+        store.set("x", "1", now=NOW)
+        return [(s.level, s.min_key, s.max_key, s.entry_count, s.max_expire_at, s.max_seq) for s in store.manifest.segments], sorted(store.rows().collect())
+
+    assert stored("btree") == stored("log") == stored("lsm") == stored("memory")
